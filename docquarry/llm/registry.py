@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docquarry.llm import byte_bpe
-from docquarry.llm.common import table
+from docquarry.llm import byte_bpe, secret_automata, url_templates, zstd_quality
+from docquarry.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = zstd_quality.train(docs, table(spark, sf_dir, "labels"))
+    return zstd_quality.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), url_templates.rules_of(RULES))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_byte_bpe": op7_byte_bpe}
+def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_automata.digest(secret_automata.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op5_url_templates, op7_byte_bpe, op10_secret_automata)}
 ORACLES: dict[str, str] = {}
