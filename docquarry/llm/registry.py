@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import byte_bpe, secret_automata, url_templates, zstd_quality
+from docquarry.llm import byte_bpe, dartminhash, lsh_ensemble, secret_automata, url_templates, zstd_quality
 from docquarry.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op1_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.classes(table(spark, sf_dir, "documents"))
+
+
 RULES = "allow org/, block example.org/es/, block example.org/en/1, allow com/fr/, block com/de/"
 
 
@@ -29,6 +33,10 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), url_templates.rules_of(RULES))
 
 
+def op6_lsh_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_ensemble.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -37,5 +45,5 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_automata.digest(secret_automata.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op5_url_templates, op7_byte_bpe, op10_secret_automata)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op3_dartminhash, op5_url_templates, op6_lsh_ensemble, op7_byte_bpe, op10_secret_automata)}
 ORACLES: dict[str, str] = {}
