@@ -63,7 +63,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size; sizes partitions and buckets, never what is computed."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int):

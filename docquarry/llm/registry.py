@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import byte_bpe, dartminhash, kmeans_tree, lsh_ensemble, secret_automata, url_templates, zstd_quality
+from docquarry.llm import byte_bpe, dartminhash, deleted_interpolation, kmeans_tree, lsh_ensemble, secret_automata, url_templates, zstd_quality
 from docquarry.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,10 @@ def op1_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deleted_interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op3_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.classes(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_automata.digest(secret_automata.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op3_dartminhash, op4_kmeans_tree, op5_url_templates, op6_lsh_ensemble, op7_byte_bpe, op10_secret_automata)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op2_deleted_interpolation, op3_dartminhash, op4_kmeans_tree, op5_url_templates, op6_lsh_ensemble, op7_byte_bpe, op10_secret_automata)}
 ORACLES: dict[str, str] = {}
