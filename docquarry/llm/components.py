@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import remove_shared, write_shared  # noqa: F401
+from docquarry.llm.common import write_shared
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,3 +37,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def extend(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after more edges (a, b): only the components that they touch are worked on."""
+    side = lambda e, c: e.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    ends = side(side(edges, "a"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    over = components(ends)
+    moved = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return write_shared(moved.unionAll(over.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import mix64, pieces, write_shared
-from docquarry.llm.components import components
+from docquarry.llm.components import components, extend
 from docquarry.llm.words import distinct_by_text, text_shingles, words_of
 
 #: Rank of the first dyadic region, and bits of a packed rank.
@@ -193,8 +193,8 @@ def sketch(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str =
     return write_shared(made.withColumn("uid", F.monotonically_increasing_id()), "sketch")
 
 
-#: Members that one group compares with one centre.
-GROUP = 256
+#: Members that one group compares with one centre; most edges (three numbers each) whose ends are broadcast.
+GROUP, SMALL = 256, 250_000
 
 
 def verify(edges: DataFrame, table: DataFrame, least: float) -> DataFrame:
@@ -205,7 +205,10 @@ def verify(edges: DataFrame, table: DataFrame, least: float) -> DataFrame:
     groups = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     member = edges.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("uid"))
     centre = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("uid"))
-    rows = member.unionAll(centre).join(table.select("uid", "size", "raw"), "uid")
+    wanted = member.unionAll(centre)
+    if edges.count() <= SMALL:  # then these rows, at most twice as many, go to the sets; else both are shuffled
+        wanted = F.broadcast(wanted)
+    rows = table.select("uid", "size", "raw").join(wanted, "uid")
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:  # GROUP sets about, and the centre's
         a = key[0].as_py()
@@ -222,9 +225,9 @@ def verify(edges: DataFrame, table: DataFrame, least: float) -> DataFrame:
 def link(table: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(digest -> uid, least id), verified links between such uids, and (node, root) of their components."""
     rep = write_shared(table.where("size > 0").groupBy("digest").agg(F.min("uid").alias("uid"), F.min("id").alias("first")), "representatives")
-    band = table.where("size > 0").select("digest", F.explode("bands").alias("band")).distinct()
+    band = table.where("size > 0").select("digest", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("band", "low")
-    bucket = band.join(shared, "band")
+    bucket = band.join(shared, "band").distinct()
     uid = lambda name: rep.select(F.col("digest").alias(name), F.col("uid").alias(f"{name}_uid"))
     bucket = write_shared(bucket.join(uid("digest"), "digest").select("band", "low", F.col("digest_uid").alias("uid")), "buckets")
     star = (
@@ -232,11 +235,11 @@ def link(table: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]
         .agg(F.count(F.lit(1)).alias("n"))
     )
     star = write_shared(star, "stars")
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    best = write_shared(star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
     tried = best
     links = write_shared(verify(best, table, plan.least), "links")
+    roots = components(links.select("a", "b"))
     for turn in range(plan.rounds):
-        roots = components(links.select("a", "b"))
         side = lambda e, c, roots=roots: e.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
         if turn == 0:
             todo = side(side(star.select("a", "b"), "a"), "b").where("a_root <> b_root").select("a", "b")
@@ -248,14 +251,14 @@ def link(table: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]
         past = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         todo = write_shared(todo.join(past, ["a", "b"], "left_anti"), "todo")
         if todo.isEmpty():
-            return rep, links, roots
+            break
         more = write_shared(verify(todo, table, plan.least), "links")
-        tried = tried.unionAll(todo)
-        found = not more.isEmpty()
-        links = links.unionAll(more)
-        if not found and turn:
-            return rep, links, roots
-    return rep, links, components(links.select("a", "b"))
+        tried, links, found = tried.unionAll(todo), links.unionAll(more), not more.isEmpty()
+        if found:
+            roots = extend(roots, more.select("a", "b"))
+        elif turn:
+            break
+    return rep, links, roots
 
 
 def labelled(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
