@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import byte_bpe, dartminhash, deleted_interpolation, gear_chunks, kmeans_tree, lsh_ensemble, secret_automata, url_templates, zstd_quality
+from docquarry.llm import byte_bpe, dartminhash, deleted_interpolation, gear_chunks, kmeans_tree, lsh_ensemble, lyndon_dedup, secret_automata, url_templates, zstd_quality
 from docquarry.llm.common import fold, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -53,9 +53,13 @@ def op8_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gear_chunks.digest(gear_chunks.repeats(table(spark, sf_dir, "documents"), text=False))
 
 
+def op9_lyndon_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_dedup.deduplicate(table(spark, sf_dir, "documents"), spans=False)
+
+
 def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_automata.digest(secret_automata.scan(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op2_deleted_interpolation, op3_dartminhash, op4_kmeans_tree, op5_url_templates, op6_lsh_ensemble, op7_byte_bpe, op8_gear_chunks, op10_secret_automata)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op2_deleted_interpolation, op3_dartminhash, op4_kmeans_tree, op5_url_templates, op6_lsh_ensemble, op7_byte_bpe, op8_gear_chunks, op9_lyndon_dedup, op10_secret_automata)}
 ORACLES: dict[str, str] = {}
