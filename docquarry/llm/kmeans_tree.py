@@ -8,8 +8,9 @@ neighbours are found among all rows, and the visits widen until their mean recal
 
 Leaves are laid out in cells of about ``Plan.cell`` rows: a large leaf has many cells (rows dealt by id hash),
 small ones share one, so a vector that a third of the rows have is no hot group.  Queries go to the cells of
-their leaves, in groups of at most about ``Plan.group``.  Each cell returns a query's k nearest, exact in double
-precision on the original vectors; the k best of these are ranked, ties by id.
+their leaves, in groups of at most about ``Plan.group``: first to ``Plan.first`` leaves, whose k-th distance
+then bounds what all visited cells return, so answers grow with the queries, not with queries times cells.
+Distances are exact in double precision on the original vectors; the k best are ranked, ties by id.
 
 Defined results: vectors that are null, zero, hold null or non-finite components or have another length than
 most of the sample take no part, nor do null ids; rows with the query's own id are no candidates; a
@@ -40,6 +41,7 @@ class Plan:
     leaf: int = 64  # sample vectors below which a node is not split
     probes: int = 96
     recall: float = 0.96
+    first: int = 8  # leaves whose rows bound a query's distances before it visits all
     cell: int = 256
     group: int = 4096
 
@@ -137,14 +139,14 @@ def _top(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: in
 
 def search(vectors: DataFrame, queries: Column, plan: Plan = Plan(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every row that the condition ``queries`` picks."""
-    out = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
     asked = vectors.where(queries).select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).where("id is not null and v is not null")
     base = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).where("id is not null and v is not null")
     sample = base.orderBy(F.xxhash64("id"), "id").limit(plan.sample).toArrow()
     rows, good = _matrix(sample.column("v").combine_chunks())
     if not len(good):
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], schema)
     length = Counter(len(rows[i]) for i in good).most_common(1)[0][0]
     rows, good = _matrix(sample.column("v").combine_chunks(), length)
     tree = fit(_stack(rows, good, length), plan)
@@ -180,36 +182,47 @@ def search(vectors: DataFrame, queries: Column, plan: Plan = Plan(), id_col: str
             part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[leaf]
             yield pa.RecordBatch.from_pydict({"cell": pa.array(first[leaf] + part), "id": b.column("id"), "leaf": b.column("leaf"), "v": b.column("v")})
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, good = _matrix(b.column("v"), length)
-            ids = b.column("id").to_pylist()
-            for i in good:
-                seen = _visit(tree, rows[i], size, visits, plan.k)
-                cells: dict[int, list[int]] = {}
-                for leaf in seen:
-                    for c in range(first[leaf], first[leaf] + parts[leaf]):
-                        cells.setdefault(c, []).append(leaf)
-                group = ids[i] // 97 % groups
-                yield pa.RecordBatch.from_pydict({
-                    "cell": pa.array(list(cells), pa.int64()), "part": pa.array([group] * len(cells), pa.int32()), "id": pa.array([ids[i]] * len(cells), pa.int64()),
-                    "v": pa.array([rows[i]] * len(cells), pa.list_(pa.float64())), "leaves": pa.array(list(cells.values()), pa.list_(pa.int32()))})
+    def walk(visits: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows, good = _matrix(b.column("v"), length)
+                ids, bound = b.column("id").to_pylist(), b.column("bound").to_pylist()
+                for i in good:
+                    cells: dict[int, list[int]] = {}
+                    for leaf in _visit(tree, rows[i], size, visits, plan.k):
+                        for c in range(first[leaf], first[leaf] + parts[leaf]):
+                            cells.setdefault(c, []).append(leaf)
+                    n = len(cells)
+                    yield pa.RecordBatch.from_pydict({
+                        "cell": pa.array(list(cells), pa.int64()), "part": pa.array([ids[i] // 97 % groups] * n, pa.int32()), "id": pa.array([ids[i]] * n, pa.int64()),
+                        "v": pa.array([rows[i]] * n, pa.list_(pa.float64())), "bound": pa.array([bound[i]] * n, pa.float64()), "leaves": pa.array(list(cells.values()), pa.list_(pa.int32()))})
+
+        return run
 
     def near(key, left: pa.Table, right: pa.Table) -> pa.Table:
         v, v_id, leaf = np.array(left.column("v").to_pylist(), dtype=np.float64).reshape(-1, length), left.column("id").to_numpy(), left.column("leaf").to_numpy()
-        got = ([], [], [])
-        for q, q_id, leaves in zip(right.column("v").to_pylist(), right.column("id").to_pylist(), right.column("leaves").to_pylist(), strict=True):
+        got = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+        for q, q_id, leaves, bound in zip(*(right.column(c).to_pylist() for c in ("v", "id", "leaves", "bound")), strict=True):
             own = np.flatnonzero(np.isin(leaf, leaves))
             for at, d in _top(np.array([q]), np.array([q_id]), v[own], v_id[own], plan.k):
-                got[0].append(np.full(len(at), q_id, dtype=np.int64)), got[1].append(v_id[own][at]), got[2].append(d)
-        a, b, c = (np.concatenate(x) if x else np.zeros(0) for x in got)
-        return pa.table({"query_id": pa.array(a.astype(np.int64)), "vec_id": pa.array(b.astype(np.int64)), "score": pa.array(c.astype(np.float64))})
+                good = d <= bound
+                got[0].append(np.full(good.sum(), q_id, dtype=np.int64)), got[1].append(v_id[own][at[good]]), got[2].append(d[good])
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(x)) for x in got), strict=True)))
 
     cells = indexed.mapInArrow(deal, "cell long, id long, leaf int, v array<double>").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    visiting = asked.mapInArrow(walk, "cell long, part int, id long, v array<double>, leaves array<int>")
-    found = cells.groupBy("cell", "part").cogroup(visiting.groupBy("cell", "part")).applyInArrow(near, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= plan.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def found(of: DataFrame, visits: int) -> DataFrame:
+        """The k nearest of each query in the leaves that it visits, none beyond its bound, ranked."""
+        visiting = of.mapInArrow(walk(visits), "cell long, part int, id long, v array<double>, bound double, leaves array<int>")
+        got = cells.groupBy("cell", "part").cogroup(visiting.groupBy("cell", "part")).applyInArrow(near, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return got.withColumn("rank", rank).where(F.col("rank") <= plan.k)
+
+    # The first leaves give each query the distance beyond which no cell needs to answer.
+    few = found(asked.withColumn("bound", F.lit(float("inf"))), min(visits, plan.first))
+    bounds = few.where(F.col("rank") == plan.k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+    out = found(asked.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")))), visits)
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _visit(tree: Tree, q: np.ndarray, size: np.ndarray, visits: int, k: int) -> list[int]:
