@@ -47,7 +47,7 @@ def double_text(x: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nested_text(s: pd.Series) -> pd.Series:
     import json
 

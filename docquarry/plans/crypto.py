@@ -71,7 +71,7 @@ def _bound(collection: str, name: Column) -> Column:
 
 
 def _seal(v: Column, p: Policy, collection: str, name: Column) -> Column:
-    body = F.aes_encrypt(F.to_json(v).cast("binary"), F.lit(p.key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(None).cast("binary"), _bound(collection, name).cast("binary"))
+    body = F.aes_encrypt(F.to_json(v).cast("binary"), F.lit(p.key), F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), _bound(collection, name).cast("binary"))
     return F.concat(F.lit(f"{MARK}{p.epoch}:"), F.base64(body))
 
 

@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from docquarry.errors import IntegrityError, InvalidArgument, MalformedRecord
 
@@ -78,7 +79,7 @@ def encode(entry: dict) -> str:
     return json.dumps(out | {"crc": checksum(entry)}, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _sound(lines: pd.Series) -> pd.Series:
     """Whether a line's checksum is right; lines without one are accepted."""
 
