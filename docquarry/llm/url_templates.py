@@ -5,16 +5,16 @@ Per host and depth, a shape stays literal if enough of the host's pages have it;
 the wildcard ``{*}``.  From the deepest level up, a literal branch whose labelled block rate is
 compatible (Hoeffding) with that of all its siblings together is merged into their wildcard; a branch
 without labels gives no ground to merge it and stays.  A template is
-rejected if its block rate, smoothed by the rate of the same template over all hosts, which is smoothed by the
-rate of everything, reaches ``Tree.reject``.  Labels are the verdicts of the rules on the pages that they fit.
+rejected if its block rate, smoothed by the rate of the same template over all hosts, which is smoothed by
+``Tree.base``, reaches ``Tree.reject``; so one without labels anywhere is not.  Labels are the verdicts of the rules on the pages that they fit.
 
 All of it is DataFrame operations; what a host adds is first summed by (host, shapes), so a host with a
 third of all pages is no larger than its distinct shapes.  The list of rules becomes one expression and
 should stay in the hundreds.
 
 Defined results: a null url, or one without ``://``, has empty host and path; repeated rows and ids are judged
-each; extra columns are ignored; without any label every template has the neutral rate 0.5 * prior weight, which
-is below ``reject``; an empty table gives an empty result.
+each; extra columns are ignored; without any label every template has the base rate, which is below ``reject``; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -105,13 +105,11 @@ def templates(urls: DataFrame, how: Tree = Tree()) -> DataFrame:
         far = bound * (1 / F.sqrt(F.greatest(F.col("own_n"), F.lit(1))) + 1 / F.sqrt(F.greatest(F.col("all_n"), F.lit(1))))
         alike = (F.col("own_n") > 0) & (F.abs(rate(F.col("own_b"), F.col("own_n")) - rate(F.col("all_b"), F.col("all_n"))) <= far)
         branch = branch.select("host", "template", "blocked", "labelled", F.when(alike, F.col("parent")).otherwise(F.col("merged")).alias("merged"))
-    # Purity: host's template, the template everywhere, everything
+    # Purity: host's template, the template everywhere, the base rate
     m = how.smoothing
     final = branch.groupBy("host", "merged").agg(*(F.sum(c).alias(c) for c in ("blocked", "labelled")))
     everywhere = branch.groupBy("template").agg(F.sum("blocked").alias("every_b"), F.sum("labelled").alias("every_n"))
-    zero = F.lit(0)
-    everything = branch.agg((F.coalesce(F.sum("blocked"), zero) + m * how.base) / (F.coalesce(F.sum("labelled"), zero) + m)).scalar()
-    shared = (F.col("every_b") + m * everything) / (F.col("every_n") + m)
+    shared = (F.col("every_b") + m * how.base) / (F.col("every_n") + m)
     purity = (F.col("blocked") + m * shared) / (F.col("labelled") + m)
     judged = (
         branch.select("host", "template", "merged").join(final, ["host", "merged"]).join(everywhere, "template")
