@@ -189,7 +189,7 @@ def train(labelled: dict[str, list[str]], ordinary: list[str], how: Training) ->
     d = Detector(formats, infer(ordinary, how.alpha), how.margin)
     below = sorted(d.score(v) for v in ordinary)
     if below:
-        d.threshold = max(d.threshold, below[min(len(below) - 1, int(how.spare * len(below)))])
+        d.threshold = max(d.threshold, below[int(how.spare * (len(below) - 1))])
     return d
 
 
