@@ -62,4 +62,27 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_zstd_quality, op2_deleted_interpolation, op3_dartminhash, op4_kmeans_tree, op5_url_templates, op6_lsh_ensemble, op7_byte_bpe, op8_gear_chunks, op9_lyndon_dedup, op10_secret_automata)}
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x80-\x{10FFFF}]+')"
+_RUNS = "list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
+
+#: Exact results of the operators that SQL can express; the operators find candidates by signatures and verify them.
+ORACLES: dict[str, str] = {
+    "op3_dartminhash": f"""
+        WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        sets AS MATERIALIZED (SELECT r, doc_id, {_RUNS} AS s FROM (SELECT *, least(5, len(w)) AS k FROM docs WHERE len(w) > 0)),
+        one AS MATERIALIZED (SELECT r, unnest(s) AS x FROM sets),
+        pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM one a JOIN one b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+        links AS MATERIALIZED (SELECT a, b FROM pairs JOIN sets p ON p.r = a JOIN sets q ON q.r = b WHERE n >= 0.8 * (len(p.s) + len(q.s) - n) - 1e-9),
+        twoway AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT r AS a, r AS b FROM sets UNION SELECT reach.a, twoway.b FROM reach JOIN twoway ON twoway.a = reach.b),
+        named AS (SELECT reach.a AS r, min(d.doc_id) AS class_id FROM reach JOIN docs d ON d.r = reach.b GROUP BY 1)
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN doc_id ELSE class_id END AS class_id FROM docs LEFT JOIN named USING (r)""",
+    "op6_lsh_ensemble": f"""
+        WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        items AS MATERIALIZED (SELECT item_id, k, {_RUNS} AS s FROM (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)) WHERE k > 0),
+        one AS MATERIALIZED (SELECT item_id, k, len(s) AS size, unnest(s) AS x FROM items),
+        own AS MATERIALIZED (SELECT r, doc_id, k, unnest({_RUNS}) AS x FROM docs, (SELECT DISTINCT k FROM items) WHERE len(w) >= k)
+        SELECT doc_id, item_id, count(*) / size AS containment, count(*)::INTEGER AS shared, size::INTEGER AS size
+        FROM own JOIN one USING (k, x) GROUP BY r, doc_id, item_id, size HAVING count(*) >= 0.8 * size - 1e-9""",
+}
