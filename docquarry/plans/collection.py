@@ -35,6 +35,7 @@ class Collection:
         self.policy: crypto.Policy | None = None
         self._next_id = 0
         self.on_scan: Callable[[dict], None] | None = None
+        self.on_compaction: Callable[[dict], None] | None = None
 
     # meta
 
@@ -130,6 +131,18 @@ class Collection:
         self._guard(filter, None, group_by, field)
         return aggregation.aggregate(self.live(), filter, group_by, field, aggs, "data", contract)
 
+    def group_by(self, field: str, aggs: Sequence[str] = ("count",), of: str | None = None, filter: Any = None) -> list[dict]:
+        """aggregate() as a list with keys as Python values."""
+        rows = self.aggregate(filter, field, of, aggs).withColumn("key", F.to_json(F.struct(F.col("key").alias("k")))).collect()
+        return [r.asDict() | {"key": json.loads(r["key"]).get("k")} for r in rows]
+
+    def encryption_status(self) -> dict:
+        """Live records by the epoch that sealed them."""
+        from docquarry.plans.log import latest
+
+        rows = latest(self.log()).where("op <> 'delete'").groupBy("epoch").count().collect()
+        return {"mode": self.policy.mode if self.policy else None, "epoch": self.policy.epoch if self.policy else 0, "records": {r["epoch"]: r["count"] for r in rows}}
+
     def stats(self) -> dict:
         v = self.storage.version()
         live_rows = self._live(v).count()
@@ -393,6 +406,8 @@ class Collection:
         rows = keep.select("id", F.lit("insert").alias("op"), "ts", "rev", "data", "epoch", "expires_at", "seq")
         name = self.storage.write(rows.repartitionByRange("id").sortWithinPartitions("id"))
         self.storage.commit(base, [name], base.next_id, base.next_seq, n, "compact")
+        if self.on_compaction:
+            self.on_compaction({"collection": self.name, "before": base.log_rows, "after": n})
         return True
 
     def vacuum(self) -> int:

@@ -333,3 +333,144 @@ def keyed_writes(spark, sf):
 def windowed_counts(spark, sf):
     """An extension: hourly counts of events by event time."""
     return _t(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp(F.col("w.start").cast("timestamp")).alias("window_start"), "n")
+
+
+def _nations(spark: SparkSession, sf: str, name: str = "nation", **settings):
+    """A keyed collection of the nations, in one commit."""
+    db = Database(spark, scratch(spark), clock=lambda: 10**18)
+    c = db.create(name, **settings)
+    n = _t(spark, sf, "nation")
+    c.insert_rows(n.select(F.parse_json(F.to_json(F.struct("n_nationkey", "n_regionkey"))).alias("data"), F.col("n_name").alias("key")))
+    return db, c
+
+
+def _nation(df: DataFrame) -> DataFrame:
+    return df.select(F.col("key").alias("n_name"), "rev", F.variant_get("data", "$.n_regionkey", "long").alias("n_regionkey"))
+
+
+_N = "SELECT n_name, 1::BIGINT AS rev, n_regionkey::BIGINT AS n_regionkey FROM nation"
+_FIRST = "(SELECT min(n_name) FROM nation)"
+
+
+def _first(spark: SparkSession, sf: str) -> str:
+    return _t(spark, sf, "nation").agg(F.min("n_name")).first()[0]
+
+
+@query(f"SELECT n_name, CASE WHEN n_name = {_FIRST} THEN 2 ELSE 1 END::BIGINT AS rev, CASE WHEN n_name = {_FIRST} THEN 77 ELSE n_regionkey END::BIGINT AS n_regionkey FROM nation UNION ALL SELECT 'new', 1, 78")
+def upsert(spark, sf):
+    _, c = _nations(spark, sf)
+    c.upsert(_first(spark, sf), {"n_regionkey": 77})
+    c.upsert("new", {"n_regionkey": 78})
+    return _nation(c.live())
+
+
+@query(f"SELECT n_name, CASE WHEN n_name = {_FIRST} THEN 2 ELSE 1 END::BIGINT AS rev, CASE WHEN n_name = {_FIRST} THEN 90 ELSE n_regionkey END::BIGINT AS n_regionkey FROM nation")
+def compare_and_swap(spark, sf):
+    """The first swap wins; the second has a stale revision."""
+    _, c = _nations(spark, sf)
+    c.update_if_rev(_first(spark, sf), 1, {"n_regionkey": 90})
+    c.update_if_rev(_first(spark, sf), 1, {"n_regionkey": 91})
+    return _nation(c.live())
+
+
+@query(f"{_N} WHERE n_name <> {_FIRST}")
+def delete_by_key(spark, sf):
+    _, c = _nations(spark, sf)
+    c.delete_by_key(_first(spark, sf))
+    return _nation(c.live())
+
+
+@query(f"SELECT CASE WHEN n_name = {_FIRST} THEN NULL ELSE n_name END AS n_name, CASE WHEN n_name = {_FIRST} THEN 1 ELSE 1 END::BIGINT AS rev, CASE WHEN n_name = {_FIRST} THEN 5 ELSE n_regionkey END::BIGINT AS n_regionkey FROM nation")
+def transaction(spark, sf):
+    """One commit deletes a record and inserts another; a rolled-back one leaves nothing."""
+    _, c = _nations(spark, sf)
+    tx = c.begin()
+    tx.delete(c.find_by_key(_first(spark, sf))["id"])
+    tx.insert({"n_regionkey": 5})
+    tx.commit()
+    other = c.begin()
+    other.insert({"n_regionkey": 6})
+    other.rollback()
+    return _nation(c.live())
+
+
+@query(_N)
+def snapshot_restore(spark, sf):
+    """A restored snapshot doesn't see later writes."""
+    db, c = _nations(spark, sf)
+    place = scratch(spark)
+    db.snapshot(f"{place}/snapshot")
+    c.delete_by_key(_first(spark, sf))
+    return _nation(Database.restore(spark, f"{place}/snapshot", f"{place}/db").collection("nation").live())
+
+
+@query("SELECT n_name, 1::BIGINT AS rev, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def encrypted_read(spark, sf):
+    from docquarry.plans.crypto import Policy
+
+    db = Database(spark, scratch(spark))
+    c = db.create("nation")
+    c.policy = Policy(bytes(range(32)), fields=frozenset({"n_regionkey"}))
+    n = _t(spark, sf, "nation")
+    c.insert_rows(n.select(F.parse_json(F.to_json(F.struct("n_nationkey", "n_regionkey"))).alias("data"), F.col("n_name").alias("key")))
+    c.migrate_encryption(c.policy.rotated(bytes(range(1, 33))))
+    return _nation(c.find())
+
+
+@query("SELECT count(*) AS reaped, 0::BIGINT AS live FROM nation")
+def reap_expired(spark, sf):
+    clock = [10**18]
+    db = Database(spark, scratch(spark), clock=lambda: clock[0])
+    c = db.create("nation", default_ttl_seconds=60)
+    n = _t(spark, sf, "nation")
+    c.insert_rows(n.select(F.parse_json(F.to_json(F.struct("n_nationkey"))).alias("data"), F.col("n_name").alias("key")))
+    clock[0] += 61 * 10**9
+    return spark.createDataFrame([(c.reap(), c.count())], "reaped long, live long")
+
+
+@query("SELECT 'duplicate key' AS refused UNION ALL SELECT 'quota' UNION ALL SELECT 'unique field' UNION ALL SELECT 'reserved field'")
+def refused_writes(spark, sf):
+    from docquarry import errors
+
+    size = _t(spark, sf, "nation").count()
+    _, c = _nations(spark, sf, max_records=size + 1)
+    c.ensure_unique_index("code")
+    c.insert({"code": "x"})
+    out = []
+    for name, error, write in (
+        ("duplicate key", errors.DuplicateKey, lambda: c.insert_with_key(_first(spark, sf), {})), ("unique field", errors.UniqueViolation, lambda: c.update_by_key(_first(spark, sf), {"code": "x"})),
+        ("quota", errors.QuotaExceeded, lambda: c.insert({})), ("reserved field", errors.ReservedField, lambda: c.insert({"_key": "y"}))):
+        try:
+            write()
+        except error:
+            out.append((name,))
+    return spark.createDataFrame(out, "refused string")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus DESC, o_orderkey) AS pos FROM orders ORDER BY 2 LIMIT 350")
+def keyset_walk(spark, sf):
+    """Seven pages by token cover each row once."""
+    o, token, rows = _t(spark, sf, "orders"), None, []
+    for _ in range(7):
+        page = find_page(o, None, "o_orderstatus:desc", 50, token, id_col="o_orderkey")
+        rows += [r.o_orderkey for r in page.rows.select("o_orderkey").collect()]
+        token = page.next_token
+    return spark.createDataFrame([(k, i + 1) for i, k in enumerate(rows)], "o_orderkey long, pos long")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1")
+def index_lookup(spark, sf):
+    _, c = _nations(spark, sf)
+    c.ensure_index("n_regionkey")
+    ids = spark.createDataFrame([(i,) for i in c.index_lookup("n_regionkey", 1)], "id long")
+    return c.live().join(ids, "id", "left_semi").select(F.col("key").alias("n_name"))
+
+
+@query("SELECT event_type AS op_type, count(*) AS n FROM events GROUP BY 1")
+def changes_since(spark, sf):
+    """The feed from a position: only what was committed after it."""
+    _, c = _feed_db(spark, sf)
+    at = feed.position(c)
+    rows = _t(spark, sf, "events").select(F.parse_json(F.to_json(F.struct("event_type"))).alias("data"), F.lit(None).cast("string").alias("key"))
+    c.insert_rows(rows)
+    return feed.changes(c, at).groupBy(F.variant_get("data", "$.event_type", "string").alias("op_type")).agg(F.count(F.lit(1)).alias("n"))

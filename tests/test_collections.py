@@ -265,3 +265,22 @@ def test_encryption(db, mode):
     assert c.policy.epoch == 2 and c.get(a)["data"]["ssn"] == {"x": [1, "two"]}
     c.migrate_encryption(None)
     assert c.get(a)["data"] == {"ssn": {"x": [1, "two"]}, "n": 1}
+
+
+def test_script(db):
+    from docquarry.plans.script import Script
+
+    out = Script(db).run('# a script\ncreate c\nuse c\ninsert \'{"n": 1}\'\nnonsense\nfind \'{"field": "n", "op": "eq", "value": "1"}\'\nupdate 1 \'{"n": 2}\'\nget c 1\nstats\ndelete 9\n')
+    assert [o.error is None for o in out] == [True, True, True, False, True, True, True, True, False]
+    assert out[2].result == 1 and out[4].result == [{"id": 1, "rev": 1, "data": {"n": 1}}] and out[6].result["data"] == {"n": 2}
+
+
+def test_group_by_and_upkeep(db):
+    c = db.create("c")
+    c.insert_many([{"g": 1}, {"g": "1"}, {"g": None}, {}, {"g": True}])
+    assert [(g["key"], g["count"]) for g in c.group_by("g")] == [(1, 1), ("1", 1), (None, 2), (True, 1)]
+    seen_, c.on_compaction = [], lambda e: seen_.append(e)
+    c.update(1, {"g": 2})
+    for _ in range(3):
+        c.update(1, {"g": 2})
+    assert db.maintain() == {"c": True} and seen_[0]["after"] == 5 and db.maintain() == {"c": False}
