@@ -42,6 +42,8 @@ from docquarry.llm.words import _powers
 
 #: Bits of an answer about a segment.
 REPEATED, DIFFER, OWNER, HOT = 1, 2, 4, 8
+#: Bytes of whole texts that are worked on at a time.
+PIECE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -58,7 +60,7 @@ class Segments:
     def __init__(self, texts: list[bytes], plan: Plan):
         self.texts = texts
         found = []
-        for begin, stop in _pieces(texts, 2 << 20):
+        for begin, stop in _pieces(texts, PIECE):
             found.append((begin, *_segments(texts[begin:stop], plan)))
         cat = lambda i: np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64)
         self.text = np.concatenate([x[0] + x[1] for x in found]) if found else np.zeros(0, np.int64)
@@ -100,7 +102,7 @@ def _segments(texts: list[bytes], plan: Plan) -> tuple[np.ndarray, ...]:
     n, wide = len(raw), plan.length - plan.seed + 1  # seeds in a window
     if n < plan.length:
         return none, none, none, none, none
-    power, inverse = _powers(max(1 << 22, 1 << int(n).bit_length()))
+    power, inverse = _powers(max(2 * PIECE, 1 << int(n).bit_length()))
     total = np.zeros(n + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
@@ -131,7 +133,7 @@ def _segments(texts: list[bytes], plan: Plan) -> tuple[np.ndarray, ...]:
 
 def _window_hashes(content: bytes, plan: Plan) -> np.ndarray:
     raw = np.frombuffer(content, dtype=np.uint8)
-    power, inverse = _powers(1 << 22)
+    power, inverse = _powers(2 * PIECE)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
