@@ -114,25 +114,21 @@ def condition(df: DataFrame, what: Any, data: str | None = None) -> Column:
 
 
 def leaf(df: DataFrame, v: Value, op: str, want: Any) -> Column:
-    """One predicate; false, never null, where the field is missing."""
+    """One predicate.  Its test is null only where the field is missing, where ``present`` makes it false."""
     if op == "contains":
-        return v.present & F.coalesce(F.contains(v.txt, F.lit(text(want))), F.lit(False))
+        return v.present & F.contains(v.txt, F.lit(text(want)))
     if op == "regex":
         java = regexes.compiled(df.sparkSession, text(want))
-        return F.lit(False) if java is None else v.present & F.coalesce(v.txt.rlike(java), F.lit(False))
+        return F.lit(False) if java is None else v.present & v.txt.rlike(java)
     if op not in _ORDER:
         return F.lit(False)
     how = _ORDER[op]
-    by_text = how(v.txt, F.lit(text(want)))
-    if not is_number(want):
-        test = by_text
-    elif v.kind == "number":
+    test = how(v.txt, F.lit(text(want)))
+    if is_number(want) and v.kind == "number":
         test = how(v.raw, F.lit(_narrow(want)))
-    elif v.kind == "dynamic":
-        test = F.when(v.num.isNotNull(), how(v.num, F.lit(float(want)))).otherwise(by_text)
-    else:
-        test = by_text
-    return v.present & F.coalesce(test, F.lit(False)) if v.kind == "dynamic" else v.present & test
+    elif is_number(want) and v.kind == "dynamic":
+        test = F.when(v.num.isNotNull(), how(v.num, F.lit(float(want)))).otherwise(test)
+    return v.present & test
 
 
 def _narrow(x: Any) -> Any:

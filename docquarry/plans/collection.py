@@ -146,7 +146,7 @@ class Collection:
     def stats(self) -> dict:
         v = self.storage.version()
         live_rows = self._live(v).count()
-        return {"name": self.name, "records": live_rows, "segments": len(v.sets), "bytes": sum(self.storage.files.size(f"{self.storage.path}/data/{s}") for s in v.sets), "dirty": v.log_rows - live_rows, "version": v.number}
+        return {"name": self.name, "records": live_rows, "segments": len(v.sets), "bytes": self.storage.size(v), "dirty": v.log_rows - live_rows, "version": v.number}
 
     # writes
 
@@ -197,7 +197,7 @@ class Collection:
                 self.storage.commit(base, [*base.sets, name], next_id, base.next_seq + len(rows), base.log_rows + len(rows), note)
                 return rows
             except Conflict:
-                self.storage.files.delete(f"{self.storage.path}/data/{name}")
+                self.storage.discard(name)
         raise Conflict(f"{note}: other writers were first {RETRIES} times")
 
     def _unique(self, rows: list[dict], now: DataFrame) -> None:
@@ -220,7 +220,7 @@ class Collection:
         m, new = self.meta(), sum(r["op"] == "insert" for r in rows)
         if new and m.get("max_records") and self._live(base).count() + new > m["max_records"]:
             raise QuotaExceeded(f"{self.name} holds at most {m['max_records']} records")
-        if new and m.get("max_bytes") and sum(self.storage.files.size(f"{self.storage.path}/data/{s}") for s in base.sets) >= m["max_bytes"]:
+        if new and m.get("max_bytes") and self.storage.size(base) >= m["max_bytes"]:
             raise QuotaExceeded(f"{self.name} holds at most {m['max_bytes']} bytes")
 
     def insert(self, data: dict, ttl_seconds: float | None = None, expires_at: int | None = None) -> int:
@@ -329,23 +329,32 @@ class Collection:
         if not keyed.join(self._live(base).select("key"), "key", "left_semi").limit(1).isEmpty():
             raise DuplicateKey("a key is taken")
         part = rows.withColumn("data", F.when(F.col("key").isNull(), F.col("data")).otherwise(_with_key("data", "key")))
-        sized = part.select("data", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+        # Written once, so that counting and numbering see the same rows whatever made them
+        staged = self.storage.write(part.select("data", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), folder="staged")
+        sized = self.spark.read.schema("data variant, p int, m long").parquet(f"{self.storage.path}/{staged}")
         sizes = {r["p"]: r["count"] for r in sized.groupBy("p").count().collect()}  # a row a partition
         first, starts, total = self.reserve(sum(sizes.values())), {}, 0
         for p in sorted(sizes):
             starts[p], total = total, total + sizes[p]
-        if not total:
-            return 0
         m = self.meta()
-        if m.get("max_records") and self._live(base).count() + total > m["max_records"]:
+        if m.get("max_records") and total and self._live(base).count() + total > m["max_records"]:
+            self.storage.discard(staged)
             raise QuotaExceeded(f"{self.name} holds at most {m['max_records']} records")
+        if not total:
+            self.storage.discard(staged)
+            return 0
         start = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("p"))
         nth = start + F.col("m").bitwiseAND((1 << 33) - 1)
         df = sized.select(
             (nth + first).cast("long").alias("id"), F.lit("insert").alias("op"), F.lit(dt.datetime.fromtimestamp(self.clock() / 1e9)).alias("ts"), F.lit(1).cast("long").alias("rev"), "data",
             F.lit(self.policy.epoch if self.policy else 0).cast("long").alias("epoch"), F.lit(self._deadline(ttl_seconds, None)).cast("long").alias("expires_at"), (nth + base.next_seq).cast("long").alias("seq"))
         name = self.storage.write(crypto.seal_rows(df, self.policy, self.name) if self.policy else df)
-        self.storage.commit(base, [*base.sets, name], first + total, base.next_seq + total, base.log_rows + total, "insert rows")
+        self.storage.discard(staged)
+        try:
+            self.storage.commit(base, [*base.sets, name], first + total, base.next_seq + total, base.log_rows + total, "insert rows")
+        except Conflict:
+            self.storage.discard(name)
+            raise
         return total
 
     def load_jsonl(self, source: str, key_field: str | None = None) -> int:
@@ -360,10 +369,7 @@ class Collection:
         base = self.storage.version()
         if base.number:
             raise AlreadyExists(f"{self.name} is not empty")
-        e = ndjson.read_log(self.spark, source)
-        from pyspark.sql import Window
-
-        e = e.withColumn("seq", F.row_number().over(Window.orderBy("seq.file", "seq.line")).cast("long")).select("id", "op", "ts", "rev", "data", "epoch", "expires_at", "seq")
+        e = ndjson.numbered(ndjson.read_log(self.spark, source)).select("id", "op", "ts", "rev", "data", "epoch", "expires_at", "seq")
         name = self.storage.write(e)
         top = self.storage.log(Version(1, [name])).agg(F.max("id"), F.max("seq")).first()
         self.storage.commit(base, [name], (top[0] or 0) + 1, (top[1] or 0) + 1, top[1] or 0, "import")
@@ -385,11 +391,9 @@ class Collection:
         gone = self.expired().select("id")
         n = gone.count()
         if n:
-            from pyspark.sql import Window
-
-            seq = F.row_number().over(Window.orderBy("id")) + (base.next_seq - 1)
+            seq = F.lit(base.next_seq)  # one position for all: their ids differ
             df = gone.select("id", F.lit("delete").alias("op"), F.lit(dt.datetime.fromtimestamp(self.clock() / 1e9)).alias("ts"), F.lit(None).cast("long").alias("rev"), F.parse_json(F.lit(None).cast("string")).alias("data"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("expires_at"), seq.cast("long").alias("seq"))
-            self.storage.commit(base, [*base.sets, self.storage.write(df)], base.next_id, base.next_seq + n, base.log_rows + n, "reap")
+            self.storage.commit(base, [*base.sets, self.storage.write(df)], base.next_id, base.next_seq + 1, base.log_rows + n, "reap")
         return n
 
     def compact(self, force: bool = False, threshold: float = 0.3) -> bool:
@@ -404,7 +408,7 @@ class Collection:
         if not force and base.log_rows and (base.log_rows - n) / base.log_rows <= threshold:
             return False
         rows = keep.select("id", F.lit("insert").alias("op"), "ts", "rev", "data", "epoch", "expires_at", "seq")
-        name = self.storage.write(rows.repartitionByRange("id").sortWithinPartitions("id"))
+        name = self.storage.write(rows.repartitionByRange("id").sortWithinPartitions("id"), folder="base")
         self.storage.commit(base, [name], base.next_id, base.next_seq, n, "compact")
         if self.on_compaction:
             self.on_compaction({"collection": self.name, "before": base.log_rows, "after": n})
@@ -417,7 +421,7 @@ class Collection:
         """Rewrites every live record under another policy."""
         base = self.storage.version()
         opened = self._open(self._live(base)).select("id", F.lit("insert").alias("op"), "ts", "rev", "data", F.lit(policy.epoch if policy else 0).cast("long").alias("epoch"), "expires_at", F.lit(base.next_seq).cast("long").alias("seq"))
-        name = self.storage.write(crypto.seal_rows(opened, policy, self.name) if policy else opened)
+        name = self.storage.write(crypto.seal_rows(opened, policy, self.name) if policy else opened, folder="base")
         rows = self.storage.log(Version(1, [name])).count()
         self.storage.commit(base, [name], base.next_id, base.next_seq + 1, rows, "migrate encryption")
         self.policy = policy

@@ -125,20 +125,25 @@ def flagship(spark, sf):
     return find(_t(spark, sf, "orders"), {"and": [_leaf("o_orderstatus", "eq", "O"), _leaf("o_totalprice", "gte", 100000)]}, "o_totalprice:desc", 20, fields=["o_totalprice"], id_col="o_orderkey")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS pos FROM orders")
-def sort_single(spark, sf):
-    return _numbered(find(_t(spark, sf, "orders"), order_by="o_custkey", id_col="o_orderkey").select("o_orderkey"), "pos")
+def _positions(df: DataFrame) -> DataFrame:
+    """A limited, ordered result with positions: it is one partition in order."""
+    return df.withColumn("pos", F.monotonically_increasing_id() + 1)
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """Rows in their order with a number; only for checks of order."""
-    rdd = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(rdd, ", ".join(f"{n} {t}" for n, t in df.dtypes) + f", {name} long")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS pos FROM orders ORDER BY 2 LIMIT 1000")
+def sort_single(spark, sf):
+    return _positions(find(_t(spark, sf, "orders"), order_by="o_custkey", limit=1000, id_col="o_orderkey").select("o_orderkey"))
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS pos FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS pos FROM orders ORDER BY 2 LIMIT 1000")
 def sort_multi(spark, sf):
-    return _numbered(find(_t(spark, sf, "orders"), order_by=["o_orderstatus", "o_totalprice:desc"], id_col="o_orderkey").select("o_orderkey"), "pos")
+    return _positions(find(_t(spark, sf, "orders"), order_by=["o_orderstatus", "o_totalprice:desc"], limit=1000, id_col="o_orderkey").select("o_orderkey"))
+
+
+@query("SELECT o_orderstatus, o_totalprice, o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey")
+def sort_full(spark, sf):
+    """No limit: a range-partitioned sort of all rows."""
+    return find(_t(spark, sf, "orders"), order_by=["o_orderstatus", "o_totalprice:desc"], id_col="o_orderkey").select("o_orderstatus", "o_totalprice", "o_orderkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 50")
@@ -217,7 +222,8 @@ def point_by_key(spark, sf):
 
 def order_log(spark: SparkSession, sf: str) -> DataFrame:
     """Every order inserted, every third updated, every fifth deleted, every seventh with a deadline of 1,000."""
-    o = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.max("o_orderkey").over(_one()).alias("top"))
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    o = o.withColumn("top", o.agg(F.max("o_orderkey")).scalar())
     entry = lambda op, rev, nth, price: o.select(
         F.col("o_orderkey").alias("id"), F.lit(op).alias("op"), F.lit(None).cast("timestamp").alias("ts"), F.lit(rev).cast("long").alias("rev"),
         (F.parse_json(F.to_json(F.struct(price.alias("price")))) if price is not None else F.parse_json(F.lit(None).cast("string"))).alias("data"), F.lit(0).cast("long").alias("epoch"),
@@ -228,12 +234,6 @@ def order_log(spark: SparkSession, sf: str) -> DataFrame:
     return first.unionAll(second).unionAll(third)
 
 
-def _one():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 _LIVE = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS rev, round(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS price FROM orders WHERE o_orderkey % 5 <> 0"
 
 

@@ -11,7 +11,7 @@ import struct
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -97,9 +97,9 @@ def read_log(spark: SparkSession, path: str, verify: bool = True, torn_tail: boo
     Each segment is one row while it is cut into lines, so segments should stay small (4 MiB as written by the engine).
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"), F.max("file").over(_everything()).alias("last"), F.endswith("value", F.lit("\n")).alias("ended"), F.size(F.split("value", "\n")).alias("n"))
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"), F.endswith("value", F.lit("\n")).alias("ended"), F.size(F.split("value", "\n")).alias("n"))
     if torn_tail:
-        lines = lines.where(~((F.col("file") == F.col("last")) & ~F.col("ended") & (F.col("line") == F.col("n") - 1)))
+        lines = lines.where(~((F.col("file") == files.agg(F.max("file")).scalar()) & ~F.col("ended") & (F.col("line") == F.col("n") - 1)))
     lines = lines.where("trim(text) <> ''").select("file", "line", "text")
     if verify:
         lines = lines.withColumn("sound", _sound("text")).select(
@@ -108,10 +108,14 @@ def read_log(spark: SparkSession, path: str, verify: bool = True, torn_tail: boo
     return got.select("e.*", F.struct("file", "line").alias("seq"))
 
 
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))  # one row a segment file
+def numbered(entries: DataFrame) -> DataFrame:
+    """read_log()'s entries with seq as a number from 1: a file's offset, from the counts of the files before it, and the rank in it."""
+    flat = entries.withColumns({"file": F.col("seq.file"), "line": F.col("seq.line")}).drop("seq")
+    counts = flat.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    offsets = counts.select("file", F.coalesce(before, F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    return flat.withColumn("rank", rank).join(offsets, "file").withColumn("seq", (F.col("offset") + F.col("rank")).cast("long")).drop("file", "line", "rank", "offset")
 
 
 def load_objects(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
@@ -147,4 +151,4 @@ def check_size(data: dict) -> None:
         raise RecordTooLarge(f"a record is at most {MAX_RECORD} bytes")
 
 
-__all__ = ["ENTRY", "IntegrityError", "InvalidArgument", "canonical", "check_size", "checksum", "crc32c", "encode", "export_objects", "load_objects", "read_log"]
+__all__ = ["ENTRY", "IntegrityError", "InvalidArgument", "canonical", "check_size", "checksum", "crc32c", "encode", "export_objects", "load_objects", "numbered", "read_log"]

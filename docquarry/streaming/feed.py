@@ -41,8 +41,8 @@ def position(c: Collection) -> int:
 def watch(c: Collection, filter: Any = None, from_seq: int | None = None, files_per_trigger: int = 64) -> DataFrame:
     """A stream of events after ``from_seq`` (now by default).  Back-pressure bounds a batch; none is dropped.
 
-    File sets appear to the stream when they are written; one that lost its commit is never joined in, as its writer deletes it,
-    so run foreachBatch sinks through ``committed``.
+    File sets appear when they are written, just before their commit; one whose commit another writer forestalled may be seen before its
+    writer deletes it.  ``changes`` reads committed sets only.  Compaction writes elsewhere, so it repeats no event.
     """
     start = position(c) if from_seq is None else from_seq
     stream = c.spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{c.storage.path}/data")
@@ -105,7 +105,7 @@ def replicate(leader: Collection, follower: Collection) -> int:
     try:
         follower.storage.commit(base, [*base.sets, name], max(base.next_id, v.next_id), top + 1, base.log_rows + n, "replicate")
     except Conflict:
-        follower.storage.files.delete(f"{follower.storage.path}/data/{name}")
+        follower.storage.discard(name)
         raise
     return n
 
