@@ -21,7 +21,7 @@ from docquarry.functions.values import Fields
 from docquarry.operators import aggregate as aggregation
 from docquarry.operators import filters, scan
 from docquarry.plans import crypto
-from docquarry.plans.log import live, now_nanos
+from docquarry.plans.log import live, live_split, now_nanos, records
 from docquarry.plans.storage import Storage, Version
 from docquarry.sources import ndjson
 
@@ -79,7 +79,11 @@ class Collection:
         return self._live(self.storage.version(version))
 
     def _live(self, v: Version) -> DataFrame:
-        return live(self.storage.log(v), self.clock())
+        plain, now = self.storage.log(v, v.plain()), self.clock()
+        if not v.changing:
+            return records(plain, now)
+        changing = self.storage.log(v, v.changing)
+        return live_split(plain, changing, now) if v.plain() else live(changing, now)
 
     def _open(self, df: DataFrame) -> DataFrame:
         return crypto.open_rows(df, self.policy, self.name) if self.policy else df
@@ -194,7 +198,8 @@ class Collection:
             name = self.storage.write(self._frame(rows, base.next_seq), files=1)
             next_id = max(base.next_id, self._next_id, *(r["id"] + 1 for r in rows))
             try:
-                self.storage.commit(base, [*base.sets, name], next_id, base.next_seq + len(rows), base.log_rows + len(rows), note)
+                changing = [*base.changing, name] if any(r["op"] != "insert" for r in rows) else base.changing
+                self.storage.commit(base, [*base.sets, name], next_id, base.next_seq + len(rows), base.log_rows + len(rows), note, changing)
                 return rows
             except Conflict:
                 self.storage.discard(name)
@@ -372,7 +377,7 @@ class Collection:
         e = ndjson.numbered(ndjson.read_log(self.spark, source)).select("id", "op", "ts", "rev", "data", "epoch", "expires_at", "seq")
         name = self.storage.write(e)
         top = self.storage.log(Version(1, [name])).agg(F.max("id"), F.max("seq")).first()
-        self.storage.commit(base, [name], (top[0] or 0) + 1, (top[1] or 0) + 1, top[1] or 0, "import")
+        self.storage.commit(base, [name], (top[0] or 0) + 1, (top[1] or 0) + 1, top[1] or 0, "import", [name])
         return top[1] or 0
 
     def export_jsonl(self, target: str) -> None:
@@ -393,7 +398,8 @@ class Collection:
         if n:
             seq = F.lit(base.next_seq)  # one position for all: their ids differ
             df = gone.select("id", F.lit("delete").alias("op"), F.lit(dt.datetime.fromtimestamp(self.clock() / 1e9)).alias("ts"), F.lit(None).cast("long").alias("rev"), F.parse_json(F.lit(None).cast("string")).alias("data"), F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("expires_at"), seq.cast("long").alias("seq"))
-            self.storage.commit(base, [*base.sets, self.storage.write(df)], base.next_id, base.next_seq + 1, base.log_rows + n, "reap")
+            name = self.storage.write(df)
+            self.storage.commit(base, [*base.sets, name], base.next_id, base.next_seq + 1, base.log_rows + n, "reap", [*base.changing, name])
         return n
 
     def compact(self, force: bool = False, threshold: float = 0.3) -> bool:
@@ -409,7 +415,7 @@ class Collection:
             return False
         rows = keep.select("id", F.lit("insert").alias("op"), "ts", "rev", "data", "epoch", "expires_at", "seq")
         name = self.storage.write(rows.repartitionByRange("id").sortWithinPartitions("id"), folder="base")
-        self.storage.commit(base, [name], base.next_id, base.next_seq, n, "compact")
+        self.storage.commit(base, [name], base.next_id, base.next_seq, n, "compact", [])
         if self.on_compaction:
             self.on_compaction({"collection": self.name, "before": base.log_rows, "after": n})
         return True
@@ -423,7 +429,7 @@ class Collection:
         opened = self._open(self._live(base)).select("id", F.lit("insert").alias("op"), "ts", "rev", "data", F.lit(policy.epoch if policy else 0).cast("long").alias("epoch"), "expires_at", F.lit(base.next_seq).cast("long").alias("seq"))
         name = self.storage.write(crypto.seal_rows(opened, policy, self.name) if policy else opened, folder="base")
         rows = self.storage.log(Version(1, [name])).count()
-        self.storage.commit(base, [name], base.next_id, base.next_seq + 1, rows, "migrate encryption")
+        self.storage.commit(base, [name], base.next_id, base.next_seq + 1, rows, "migrate encryption", [])
         self.policy = policy
 
 

@@ -27,5 +27,19 @@ def latest(log: DataFrame, order: str = "seq") -> DataFrame:
 
 def live(log: DataFrame, now: int | None = None, order: str = "seq") -> DataFrame:
     """Live records: id, key, rev, ts, expires_at, data.  One aggregation with partial results before its shuffle."""
-    last = latest(log, order).where("op <> 'delete'").where(visible(now_nanos() if now is None else now))
-    return last.select("id", F.try_variant_get("data", path("_key"), "string").alias("key"), "rev", "ts", F.coalesce("expires_at", F.lit(0)).alias("expires_at"), "data")
+    return records(latest(log, order).where("op <> 'delete'"), now)
+
+
+def live_split(plain: DataFrame, changing: DataFrame, now: int | None = None) -> DataFrame:
+    """live() of a log in two parts: inserts of distinct ids, and everything else.
+
+    Only the changes are aggregated; the inserts lose the ids that changed by an anti-join, whose small side Spark broadcasts
+    while it is small, so unchanged records are scanned with their predicates and not shuffled.
+    """
+    touched = changing.select("id").distinct()
+    return records(plain.join(touched, "id", "left_anti"), now).unionByName(live(changing, now))
+
+
+def records(entries: DataFrame, now: int | None) -> DataFrame:
+    """Records of entries that are each the last of their id."""
+    return entries.where(visible(now_nanos() if now is None else now)).select("id", F.try_variant_get("data", path("_key"), "string").alias("key"), "rev", "ts", F.coalesce("expires_at", F.lit(0)).alias("expires_at"), "data")

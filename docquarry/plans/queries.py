@@ -258,7 +258,8 @@ def compact(spark, sf):
     c = db.create("orders")
     log = order_log(spark, sf)
     top = log.agg(F.max("id"), F.max("seq"), F.count(F.lit(1))).first()
-    c.storage.commit(c.storage.version(), [c.storage.write(log)], top[0] + 1, top[1] + 1, top[2])
+    name = c.storage.write(log)
+    c.storage.commit(c.storage.version(), [name], top[0] + 1, top[1] + 1, top[2], "load", [name])
     c.compact(force=True)
     return _seen(c.live())
 

@@ -103,7 +103,7 @@ def replicate(leader: Collection, follower: Collection) -> int:
     name = follower.storage.write(news)
     v = leader.storage.version()
     try:
-        follower.storage.commit(base, [*base.sets, name], max(base.next_id, v.next_id), top + 1, base.log_rows + n, "replicate")
+        follower.storage.commit(base, [*base.sets, name], max(base.next_id, v.next_id), top + 1, base.log_rows + n, "replicate", [*base.changing, name])
     except Conflict:
         follower.storage.discard(name)
         raise

@@ -284,3 +284,20 @@ def test_group_by_and_upkeep(db):
     for _ in range(3):
         c.update(1, {"g": 2})
     assert db.maintain() == {"c": True} and seen_[0]["after"] == 5 and db.maintain() == {"c": False}
+
+
+def test_unchanged_records_are_not_shuffled(db):
+    c = db.create("c")
+    c.insert_many([{"n": i} for i in range(20)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(c.live())
+    c.update(3, {"n": 99})
+    c.delete(4)
+    assert "BroadcastHashJoin" in plan(c.live()) and c.count() == 19 and c.get(3)["data"] == {"n": 99}
+    tx = c.begin()
+    row = tx.insert({"n": 1})
+    tx.update(row, {"n": 2})
+    tx.commit()
+    assert c.get(row)["data"] == {"n": 2} and c.count() == 20
+    c.compact(force=True)
+    assert "Exchange" not in plan(c.live()) and c.count() == 20
