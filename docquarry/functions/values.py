@@ -63,6 +63,7 @@ class Value:
     present: Column
     num: Column | None  # null where the value is no number
     txt: Column  # null where the value is missing
+    outline: Column | None = None  # as txt, but of lists and objects only how their text begins: needs no Python
 
     @property
     def sort_keys(self) -> list[Column]:
@@ -132,4 +133,5 @@ class Fields:
         num = F.when(number, F.try_variant_get(v, "$", "double"))
         nested = F.when(tag.rlike("^(ARRAY|OBJECT)"), F.to_json(v))
         scalar = F.when(tag == "VOID", F.lit(MISSING)).when(number, double_text(num)).otherwise(F.try_variant_get(v, "$", "string"))
-        return Value("dynamic", v, v.isNotNull(), num, F.when(nested.isNotNull(), _nested_text(nested)).otherwise(scalar))
+        outline = F.when(F.startswith(tag, F.lit("ARRAY")), F.lit("[")).when(F.startswith(tag, F.lit("OBJECT")), F.lit("map[")).otherwise(scalar)
+        return Value("dynamic", v, v.isNotNull(), num, F.when(nested.isNotNull(), _nested_text(nested)).otherwise(scalar), outline)

@@ -123,7 +123,9 @@ def leaf(df: DataFrame, v: Value, op: str, want: Any) -> Column:
     if op not in _ORDER:
         return F.lit(False)
     how = _ORDER[op]
-    test = how(v.txt, F.lit(text(want)))
+    said = text(want)
+    # How a list's or an object's text begins decides the comparison, unless the literal begins so too
+    test = how(v.txt if v.outline is None or said.startswith(("[", "map[")) else v.outline, F.lit(said))
     if is_number(want) and v.kind == "number":
         test = how(v.raw, F.lit(_narrow(want)))
     elif is_number(want) and v.kind == "dynamic":

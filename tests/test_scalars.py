@@ -46,7 +46,7 @@ def docs(spark):
 
 
 @pytest.mark.parametrize("op", ["eq", "neq", "gt", "gte", "lt", "lte", "contains"])
-@pytest.mark.parametrize("want", [1, "1", 10, "abc", "", True, None, 1000000])
+@pytest.mark.parametrize("want", [1, "1", 10, "abc", "", True, None, 1000000, "[1 2]", "map", "map[a:x", "zz"])
 def test_leaves_agree_with_the_kernel(spark, docs, op, want):
     """Differential: every leaf over heterogeneous values against plain Python."""
     tests = {"eq": lambda v: equal(v, want), "neq": lambda v: not equal(v, want), "gt": lambda v: compare(v, want) > 0, "gte": lambda v: compare(v, want) >= 0, "lt": lambda v: compare(v, want) < 0, "lte": lambda v: compare(v, want) <= 0, "contains": lambda v: text(want) in text(v)}
@@ -77,3 +77,8 @@ def test_regexes(spark):
     df = spark.createDataFrame([("ab\n",), ("ab",), ("É",)], "t string")
     assert [r.t for r in df.where(F.col("t").rlike(regexes.compiled(spark, "ab$"))).collect()] == ["ab"]
     assert df.where(F.col("t").rlike(regexes.compiled(spark, "(?i)^é"))).count() == 1
+
+
+def test_comparisons_need_no_python(docs):
+    plan = where(docs, {"field": "x", "op": "gte", "value": 5}, "data")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
