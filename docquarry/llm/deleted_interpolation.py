@@ -38,7 +38,7 @@ from docquarry.llm.words import TOKEN, words_of
 END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xA0761D6478BD642F)
 #: Tokens of a chunk, bits of a bigram's hash, width of a ratio bin (natural log) and number of context buckets.
-CHUNK, BITS, STEP, BUCKETS = 2_000_000, 48, 0.25, 48
+CHUNK, BITS, STEP, BUCKETS = 1_000_000, 48, 0.25, 48
 TEST, HELD = 1, 2  # folds: never learnt from; held out for the weights
 
 
@@ -72,7 +72,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 "size": one(len(known), pa.int32()), "distinct": one(pack_sorted(known), pa.binary()), "tokens": one(pack(index.astype(np.uint32)), pa.binary())})
 
         for whole in batches:
-            for b in pieces(whole, "text", 2 << 20):
+            for b in pieces(whole, "text", 1 << 20):
                 seq, n = _sequence(b.column("text"))
                 folds, at = fold_of(b.column("id")), np.repeat(np.arange(b.num_rows), n)
                 for held in (True, False):
