@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.blobs import bucket_log, cuts, pack, pack_sorted, unpack, unpack_sorted
 from docquarry.llm.common import input_bytes, mix64
-from docquarry.llm.parts import lay_out, open_part
+from docquarry.llm.parts import lay_out, open_part, runs_of
 
 WINDOW = 32
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -107,7 +107,7 @@ class _Part:
         self.texts = open_part(row["raw"], row["lengths"])
         self.ids = row["ids"]
         self.order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i]))
-        self.ends = chunk_ends(self.texts, plan)
+        self.ends = [e for a, b in runs_of(self.texts, 1 << 20) for e in chunk_ends(self.texts[a:b], plan)]
         digest, owner = [], []
         top = np.iinfo(np.int64).max
         for i in self.order:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from docquarry.llm import jvm
 from docquarry.llm.blobs import bucket_log, cuts, pack, pack_sorted, unpack, unpack_sorted
 from docquarry.llm.common import input_bytes, mix64, write_shared
-from docquarry.llm.parts import lay_out, open_part
+from docquarry.llm.parts import lay_out, open_part, runs_of
 from docquarry.llm.words import _powers
 
 #: Bits of an answer about a segment.
@@ -60,7 +60,7 @@ class Segments:
     def __init__(self, texts: list[bytes], plan: Plan):
         self.texts = texts
         found = []
-        for begin, stop in _pieces(texts, PIECE):
+        for begin, stop in runs_of(texts, PIECE):
             found.append((begin, *_segments(texts[begin:stop], plan)))
         cat = lambda i: np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64)
         self.text = np.concatenate([x[0] + x[1] for x in found]) if found else np.zeros(0, np.int64)
@@ -79,17 +79,6 @@ class Segments:
         return self.texts[self.text[i]][self.first[i] : self.last[i] + plan.length]
 
 
-def _pieces(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > begin and size + len(t) > most:
-            yield begin, i
-            begin, size = i, 0
-        size += len(t)
-    if texts:
-        yield begin, len(texts)
-
-
 def _hashes(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, size) -> np.ndarray:
     """Hash of the bytes [start, start + size) from prefix sums of byte times power."""
     with np.errstate(over="ignore"):

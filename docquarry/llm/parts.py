@@ -59,3 +59,15 @@ def open_part(raw: bytes, lengths: list[int]) -> list[bytes]:
         out.append(data[at : at + n])
         at += n
     return out
+
+
+def runs_of(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """[begin, stop) of texts that hold about ``most`` bytes together (one text at least)."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield begin, len(texts)
