@@ -66,18 +66,25 @@ class Codec:
             self.bytes_of[i] = bytes(back[c] for c in token)
         # White space as Unicode has it: the regex module's \s takes four control characters more.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        # Pieces as ids; and as decimal ids and the bytes that these decode to
         self.ids: dict[str, list[int]] = {}
         self.decimal: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
 
+    def _new(self, words: set[str], cache: dict) -> Iterator[tuple[str, list[int]]]:
+        """Encodes pieces that a cache lacks."""
+        new = [w for w in words if w not in cache]
+        return ((w, e.ids) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+
     def learn(self, words: set[str]) -> None:
-        """Encodes pieces that the cache lacks."""
         if len(self.ids) > CACHE_PIECES:
-            self.ids.clear(), self.decimal.clear(), self.raw.clear()
-        new = [w for w in words if w not in self.ids]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.ids[w] = ids
+            self.ids.clear()
+        self.ids.update(self._new(words, self.ids))
+
+    def learn_digests(self, words: set[str]) -> None:
+        if len(self.decimal) > CACHE_PIECES:
+            self.decimal.clear(), self.raw.clear()
+        for w, ids in self._new(words, self.decimal):
             self.decimal[w] = ",".join(map(str, ids))
             self.raw[w] = self.decode(ids)
 
@@ -85,12 +92,12 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def cut(self, texts: list[str]) -> list[list[str]]:
-        found = [self.split.findall(t) for t in texts]
-        self.learn(set(chain.from_iterable(found)))
-        return found
+        return [self.split.findall(t) for t in texts]
 
-    def encode(self, text: str) -> list[int]:
-        return [i for w in self.cut([text])[0] for i in self.ids[w]]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        found = self.cut(texts)
+        self.learn(set(chain.from_iterable(found)))
+        return [[i for w in words for i in self.ids[w]] for words in found]
 
     def offsets(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
         """Code-point start and end of each token; a token inside a character has that character's span."""
@@ -118,7 +125,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         for whole in batches:
             for b in pieces(whole, "text", 4 << 20):
                 texts = texts_of(b)
-                ids = [[i for w in words for i in c.ids[w]] for words in c.cut(texts)]
+                ids = c.encode(texts)
                 out = {"id": b.column("id"), "ids": pa.array(ids, pa.list_(pa.int32()))}
                 if offsets:
                     spans = [c.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
@@ -155,7 +162,9 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         for whole in batches:
             for b in pieces(whole, "text", 2 << 20):
                 n, ids_sha, raw_sha = [], [], []
-                for words in c.cut(texts_of(b)):
+                found = c.cut(texts_of(b))
+                c.learn_digests(set(chain.from_iterable(found)))
+                for words in found:
                     said = ",".join(map(c.decimal.__getitem__, words))
                     n.append(said.count(",") + 1 if words else 0)
                     ids_sha.append(hashlib.sha256(said.encode()).hexdigest())

@@ -77,7 +77,7 @@ def words_of(texts: pa.Array, table: np.ndarray = ALNUM) -> Words:
     start = np.flatnonzero(on & (~before | first[:n]))
     after = np.concatenate((on[1:], [False])) if n else on
     stop = np.flatnonzero(on & (~after | first[1:])) + 1
-    power, inverse = _powers(max(1 << 22, 1 << max(1, int(n)).bit_length()))
+    power, inverse = _powers(max(1 << 21, 1 << int(n).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(code.astype(np.uint64) * power[:n], out=total[1:])
