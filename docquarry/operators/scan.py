@@ -9,11 +9,12 @@ from __future__ import annotations
 import base64
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.errors import InvalidArgument, InvalidPageToken
@@ -158,3 +159,17 @@ def find_page(
     elif limit:
         rows = rows.limit(limit)
     return Page(project(rows, fields, data, keep=[id_col] if data is None else []), token)
+
+
+@contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs of this block can be stopped by cancel() with the tag."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)

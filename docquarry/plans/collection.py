@@ -46,6 +46,15 @@ class Collection:
     def set_meta(self, **changes: Any) -> None:
         self.storage.files.create(f"{self.storage.path}/meta.json", json.dumps(self.meta() | changes), overwrite=True)
 
+    def encrypt(self, policy: crypto.Policy) -> None:
+        """Sets the policy; a key that doesn't fit what is stored is refused."""
+        check = self.meta().get("key_check")
+        if check and not crypto.key_fits(self.spark, policy, check):
+            raise InvalidArgument("the key is not this collection's")
+        if not check:
+            self.set_meta(key_check=crypto.key_check(self.spark, policy))
+        self.policy = policy
+
     def ensure_index(self, field: str, unique: bool = False) -> None:
         """Records the index; an existing one stays as it is.  Scans need none: predicates reach the files."""
         indexes = self.meta().get("indexes", {})
@@ -431,6 +440,7 @@ class Collection:
         rows = self.storage.log(Version(1, [name])).count()
         self.storage.commit(base, [name], base.next_id, base.next_seq + 1, rows, "migrate encryption", [])
         self.policy = policy
+        self.set_meta(key_check=crypto.key_check(self.spark, policy) if policy else None)
 
 
 def _with_key(data: str, key: str) -> Column:

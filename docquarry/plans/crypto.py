@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.errors import InvalidArgument, OpaqueField, ReservedField
@@ -24,6 +25,12 @@ def derive(passphrase: str, salt: bytes) -> bytes:
     return hashlib.scrypt(passphrase.encode(), salt=salt, n=2**14, r=8, p=1, dklen=32)
 
 
+class KeyProvider(Protocol):
+    """Where keys come from: the key of an epoch."""
+
+    def key(self, epoch: int) -> bytes: ...
+
+
 @dataclass(frozen=True)
 class Policy:
     """mode "field": ``fields`` are sealed; mode "record": all but ``fields`` and _key are.  ``old`` holds earlier epochs' keys."""
@@ -44,6 +51,10 @@ class Policy:
         if "_key" in self.fields and self.mode == "field":
             raise InvalidArgument("_key can't be sealed")
 
+    @classmethod
+    def of(cls, provider: KeyProvider, epoch: int, mode: str = "field", fields: frozenset[str] = frozenset()) -> "Policy":
+        return cls(provider.key(epoch), mode, fields, epoch, {e: provider.key(e) for e in range(1, epoch)})
+
     def opaque(self, name: str) -> bool:
         return name in self.fields if self.mode == "field" else name not in self.fields and name != "_key"
 
@@ -113,3 +124,17 @@ def open_rows(df: DataFrame, p: Policy, collection: str) -> DataFrame:
     hidden = F.variant_get(_opened(text(v), p, collection, F.lit(SECURE)), "$", "map<string,variant>")
     done = F.map_concat(F.map_filter(m, lambda k, _: k != SECURE), hidden)
     return df.withColumn("data", F.when(v.isNull(), F.col("data")).otherwise(F.parse_json(F.to_json(done))))
+
+
+_KNOWN = "docquarry key check"
+
+
+def key_check(spark: SparkSession, p: Policy) -> str:
+    """A known text under the policy's key, to be kept beside the data."""
+    return spark.range(1).select(F.base64(F.aes_encrypt(F.lit(_KNOWN).cast("binary"), F.lit(p.key), F.lit("GCM"))).alias("x")).first()["x"]
+
+
+def key_fits(spark: SparkSession, p: Policy, check: str) -> bool:
+    """Whether one of the policy's keys made the check."""
+    tried = [F.try_aes_decrypt(F.unbase64(F.lit(check)), F.lit(k), F.lit("GCM")).cast("string") == _KNOWN for k in p.keys().values()]
+    return any(spark.range(1).select(*(F.coalesce(t, F.lit(False)).alias(f"k{i}") for i, t in enumerate(tried))).first())

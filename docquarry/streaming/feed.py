@@ -112,3 +112,11 @@ def replicate(leader: Collection, follower: Collection) -> int:
 
 def lag(leader: Collection, follower: Collection) -> int:
     return position(leader) - position(follower)
+
+
+def promote(leader: Collection, follower: Collection, open_writes: Callable[[], None], most_lag: int = 0) -> None:
+    """Lets a follower take writes unless it lacks more than ``most_lag`` entries."""
+    behind = lag(leader, follower)
+    if behind > most_lag:
+        raise Conflict(f"the follower lacks {behind} entries")
+    open_writes()

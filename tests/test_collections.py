@@ -301,3 +301,39 @@ def test_unchanged_records_are_not_shuffled(db):
     assert c.get(row)["data"] == {"n": 2} and c.count() == 20
     c.compact(force=True)
     assert "Exchange" not in plan(c.live()) and c.count() == 20
+
+
+def test_key_check_and_provider(db):
+    class Keys:
+        def key(self, epoch):
+            return bytes([epoch]) * 32
+
+    c = db.create("c")
+    c.encrypt(Policy.of(Keys(), 2, fields=frozenset({"s"})))
+    a = c.insert({"s": 1})
+    with pytest.raises(errors.InvalidArgument):
+        c.encrypt(Policy(b"z" * 32, fields=frozenset({"s"})))
+    c.encrypt(Policy.of(Keys(), 3, fields=frozenset({"s"})))
+    assert c.get(a)["data"] == {"s": 1} and c.encryption_status()["records"] == {2: 1}
+
+
+def test_promotion_guard_observation_and_tags(db, tmp_path):
+    from pyspark.sql import Observation
+
+    from docquarry.operators import scan
+
+    c = db.create("c")
+    c.insert_many([{"n": 1}, {"n": 2}])
+    other = Database(db.spark, f"file://{tmp_path}/f", clock=db.clock)
+    f = other.create("c")
+    other.read_only = True
+    with pytest.raises(errors.Conflict):
+        feed.promote(c, f, other.promote)
+    feed.replicate(c, f)
+    feed.promote(c, f, other.promote)
+    assert f.insert({}) == 3
+    seen_ = Observation()
+    with scan.cancellable(db.spark, "mine"):
+        assert scan.find(c.live(), {"field": "n", "op": "eq", "value": 1}, data="data", observe=seen_).count() == 1
+    assert seen_.get["scanned"] == 2
+    scan.cancel(db.spark, "mine")
