@@ -238,3 +238,30 @@ def test_pipeline(spark, sf):
     assert not brute_leaks(rows, [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()])
     final = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in final.collect()} == {i for i, _ in rows} and at.where("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf, odd_docs):
+    """Null, empty and repeated rows and a column with a clashing name pass every stage; an empty table too."""
+    docs = odd_docs.select("doc_id", "text", "lang", F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit("x").alias("score"))
+    for table in (docs, docs.where("false")):
+        at = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, sf).cache()
+            assert out.count() <= at.count(), name
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == at.columns and out.schema.simpleString() == at.schema.simpleString(), name
+                at = out
+        left = {r.doc_id for r in at.collect()}
+        assert not left if table is not docs else {100, 101} <= left
+
+
+def test_clean_documents_stay(spark, sf):
+    """Fresh prose without copies, items or credentials comes through the filtering stages unchanged."""
+    rng = random.Random(77)
+    vocabulary = [w for (t,) in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("text").limit(60).collect() for w in re.findall("[a-z]+", t)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(80, 400))).capitalize() + ".", "en", "s", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        at = stage(spark, at, sf)
+    assert sorted((r.doc_id, r.text) for r in at.collect()) == [(i, t) for i, t, *_ in rows]
