@@ -33,12 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _sweep() -> None:
-    for spark, path in _WRITTEN:
-        remove_shared(spark, path, forget=False)
+def sweep() -> None:
+    """Deletes all that write_shared() has written; for long sessions, once results that read it are stored.  Runs at exit."""
+    for spark, path in list(_WRITTEN):
+        remove_shared(spark, path)
 
 
-def remove_shared(spark: SparkSession, path: str, forget: bool = True) -> None:
+def remove_shared(spark: SparkSession, path: str) -> None:
     """Deletes what write_shared() wrote; a session that has ended is no error."""
     try:
         jvm = spark.sparkContext._jvm
@@ -46,8 +47,7 @@ def remove_shared(spark: SparkSession, path: str, forget: bool = True) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # noqa: BLE001  the gateway may be gone at exit
         pass
-    if forget:
-        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+    _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
-        atexit.register(_sweep)
+        atexit.register(sweep)
     df.write.option("compression", "zstd").parquet(path)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -133,3 +133,15 @@ def test_state_merging_generalises():
     rng = random.Random(4)
     a = secret_automata.infer(["".join(rng.choice("01ab") for _ in range(30)) for _ in range(400)], 0.05)
     assert len(a.step) < 60 and a.log_likelihood("01ab" * 8) > a.log_likelihood("zzzz" * 8) + 20
+
+
+def test_shared_tables_are_swept(spark):
+    from docquarry.llm import common
+
+    df = common.write_shared(spark.range(3).toDF("id"), "sweep")
+    path = df.inputFiles()[0]
+    assert df.count() == 3
+    common.sweep()
+    with pytest.raises(Exception, match="(?i)path"):
+        spark.read.parquet(path).count()
+    assert common.write_shared(spark.range(0).toDF("id"), "sweep").count() == 0
