@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from docquarry.errors import IntegrityError, InvalidArgument, MalformedRecord
+from docquarry.errors import MalformedRecord, RecordTooLarge
 
 ENTRY = "id long, op string, ts timestamp, rev long, data variant, epoch long, expires_at long, crc long"
 MAX_RECORD = 16 * 1024 * 1024  # bytes of one encoded record
@@ -145,10 +145,5 @@ def export_objects(live: DataFrame, path: str) -> None:
 
 
 def check_size(data: dict) -> None:
-    from docquarry.errors import RecordTooLarge
-
     if len(canonical(data)) > MAX_RECORD:
         raise RecordTooLarge(f"a record is at most {MAX_RECORD} bytes")
-
-
-__all__ = ["ENTRY", "IntegrityError", "InvalidArgument", "canonical", "check_size", "checksum", "crc32c", "encode", "export_objects", "load_objects", "numbered", "read_log"]
