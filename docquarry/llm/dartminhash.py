@@ -12,7 +12,7 @@ Joining: texts with the same weighted set are one row first.  Bands of the signa
 a bucket every member is compared with the bucket's least, never all with all.  Links are verified
 by the exact weighted Jaccard similarity.  Next, members of a bucket that are still in different classes are
 compared with the least and the highest class's first member, until a round finds no new link.  What
-is still in one bucket but different classes is compared last, pair by pair where sizes and signatures allow
+is still in one bucket but different classes is compared last, inside the bucket's task where sizes and signatures allow
 0.8, so no link is lost for want of a common centre.  Two texts at 0.8 share a bucket with probability 1 - 3e-6 and
 about ten buckets on average.
 
@@ -260,42 +260,68 @@ def link(table: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]
             roots = extend(roots, more.select("a", "b"))
         elif turn:
             break
-    past = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    todo = write_shared(remaining(bucket, roots, table, plan).join(past, ["a", "b"], "left_anti"), "todo")
-    more = write_shared(verify(todo, table, plan.least), "links")
+    more = write_shared(remaining(bucket, roots, table, plan), "links")
     return rep, links.unionAll(more), extend(roots, more.select("a", "b"))
 
 
-#: Largest bucket that is looked at as a whole by remaining(); bands that two texts must share there.
-WHOLE, AGREE = 1024, 3
+#: Pairs of different classes up to which a bucket is looked at as a whole by remaining(); bands that two texts must share there.
+WHOLE, AGREE = 4_000_000, 3
 
 
 def remaining(bucket: DataFrame, roots: DataFrame, table: DataFrame, plan: Plan) -> DataFrame:
-    """Pairs (a, b) of one bucket but different classes whose sizes and signatures allow the wanted similarity.
+    """Links (a, b, similarity) between texts of one bucket that are in different classes.
 
-    Two texts at 0.8 share AGREE or more bands with probability 1 - 4e-4.  Only pairs that do are given out.  Of a bucket with more than
-    WHOLE members those that share a second band are looked at together, for every second band.
+    The sets go to their buckets once each and are compared there; only links come out.  A pair is compared in the first
+    band that it shares, if it shares AGREE (at 0.8 the chance is 1 - 4e-4) and its sizes allow the similarity, and not once its classes
+    have met.  A bucket with more than WHOLE pairs is split by every second band that members share.
     """
     here = bucket.select("band", "uid").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    mixed = here.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "n")
-    rows = here.join(mixed, "band").join(table.select("uid", "size", "bands"), "uid")
-    small = rows.where(F.col("n") <= WHOLE).select(F.col("band").alias("key"), "uid", "root", "size", "bands")
-    large = rows.where(F.col("n") > WHOLE).withColumn("second", F.explode("bands")).where("second <> band").select(F.xxhash64("band", "second").alias("key"), "uid", "root", "size", "bands")
-
-    def pairs(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    by_class = here.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_class.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("classes"))
+    mixed = mixed.where("classes > 1").select("band", (F.col("all") * F.col("all") - F.col("within")).alias("across"))
+    rows = write_shared(here.join(mixed, "band"), "mixed")
+    if rows.count() <= SMALL:
+        rows = F.broadcast(rows)
+    rows = table.select("uid", "size", "bands", "raw").join(rows, "uid")
+    rest = ("uid", "root", "size", "bands", "raw")
+    small = rows.where(F.col("across") <= WHOLE).select("band", F.col("band").alias("second"), *rest)
+    large = rows.where(F.col("across") > WHOLE).select("band", F.explode("bands").alias("second"), *rest).where("second <> band")
+
+    def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        band, second = key[0].as_py(), key[1].as_py()
         t = t.sort_by("uid")
         uid, root, size = (t.column(c).to_numpy() for c in ("uid", "root", "size"))
-        bands = np.array(t.column("bands").to_pylist(), dtype=np.int64).reshape(len(uid), -1)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(uid) - 1):
-            rest = np.arange(i + 1, len(uid))
-            ok = (root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= plan.least * np.maximum(size[rest], size[i]) - 1e-9)
-            rest = rest[ok]
-            rest = rest[(bands[rest] == bands[i]).sum(axis=1) >= AGREE]
-            a.append(np.full(len(rest), uid[i])), b.append(uid[rest])
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
-
-    return small.unionAll(large).groupBy("key").applyInArrow(pairs, "a long, b long").distinct()
+        bands, raw = np.array(t.column("bands").to_pylist(), dtype=np.int64).reshape(len(uid), -1), t.column("raw").to_pylist()
+        names, n = np.unique(root, return_counts=True)
+        major, up, sets, out = names[n.argmax()], {r: r for r in names.tolist()}, {}, []
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                r = up[r]
+            return r
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = unpack(raw[i], int(size[i]))
+            return sets[i]
+
+        for i in np.flatnonzero(root != major).tolist():
+            other = np.flatnonzero((root != root[i]) & ((root == major) | (np.arange(len(uid)) > i)))
+            other = other[np.minimum(size[other], size[i]) >= plan.least * np.maximum(size[other], size[i]) - 1e-9]
+            same = bands[other] == bands[i]
+            good = (same.sum(axis=1) >= AGREE) & (bands[i][same.argmax(axis=1)] == band)
+            if second != band:
+                same[np.arange(len(other)), same.argmax(axis=1)] = False
+                good &= bands[i][same.argmax(axis=1)] == second
+            for k in other[good].tolist():
+                x, y = top(int(root[i])), top(int(root[k]))
+                if x != y and (j := jaccard(of(i), of(k))) >= plan.least - 1e-12:
+                    up[y] = x
+                    out.append((int(uid[i]), int(uid[k]), j))
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(c, pa.float64())})
+
+    return small.unionAll(large).groupBy("band", "second").applyInArrow(compare, "a long, b long, similarity double")
 
 
 def labelled(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

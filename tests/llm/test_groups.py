@@ -265,3 +265,19 @@ def test_clean_documents_stay(spark, sf):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         at = stage(spark, at, sf)
     assert sorted((r.doc_id, r.text) for r in at.collect()) == [(i, t) for i, t, *_ in rows]
+
+
+@pytest.mark.parametrize("whole", [4_000_000, 4])
+def test_chains_of_near_duplicates(spark, monkeypatch, whole):
+    """Texts that drift away from a base in steps, many of them just at the border: no link between different texts is lost."""
+    monkeypatch.setattr(dartminhash, "WHOLE", whole)
+    rng, rows = random.Random(12), []
+    for g in range(4):
+        words = prose(rng, 90).split()
+        for i in range(14):
+            rows.append((100 * g + i, " ".join(words)))
+            words[rng.randrange(len(words))] = f"new{g}x{i}"
+            if i % 3 == 0:
+                words[rng.randrange(len(words))] = f"more{g}x{i}"
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, dartminhash.classes(df).collect())) == sorted(brute_classes(rows))
