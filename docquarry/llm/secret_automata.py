@@ -4,8 +4,9 @@ Base spans are the leftmost non-overlapping matches of each kind's pattern whose
 enough.  Their values are the labelled credentials: per kind, state merging (the Hoeffding test of
 Alergia) turns the prefix tree of a bounded sample into a probabilistic automaton over character
 classes.  Every other run of 16 or more token characters is a candidate; its format likelihood under the
-best credential automaton, against an automaton of ordinary candidates, decides whether it becomes
-a span of kind ``auto``.
+best credential automaton, against an automaton of ordinary candidates, decides by a fixed margin whether it becomes
+a span of kind ``auto``.  The candidates contain the unlabelled credentials, so those that score like a format are cleared
+from what the ordinary automaton learns; and a format counts only for runs that fit it as held-out labelled values do.
 
 Bounds: at most ``Training.most`` distinct values a kind are read into the driver, chosen by hash
 over the whole table.  A kind with fewer than ``Training.least`` distinct values gets no automaton; without
@@ -47,7 +48,9 @@ class Training:
     least: int = 8
     alpha: float = 0.05  # of the Hoeffding test
     margin: float = 12.0  # nats by which a credential format must be likelier than the ordinary one
-    spare: float = 0.999  # share of ordinary candidates that must stay below the threshold
+    clear: float = -4.0  # nats above which a candidate is cleared from the ordinary pool
+    turns: int = 10  # of clearing, at most
+    slack: float = 0.25  # nats a character by which a run may fit a format worse than the worst held-out labelled value
 
 
 def base_spans(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[int, int, str]]]:
@@ -90,6 +93,14 @@ class Automaton:
             total += p
         return total + self.step[state][END][1]
 
+    def fit(self, value: str) -> float:
+        """Log probability a character, whatever the length."""
+        state, total = 0, 0.0
+        for c in value:
+            state, p = self.step[state][SYMBOL.get(c, END - 1)]
+            total += p
+        return total / max(len(value), 1)
+
 
 class _Tree:
     """Prefix tree with counts, and the merges on it."""
@@ -174,22 +185,34 @@ def infer(values: list[str], alpha: float) -> Automaton:
 @dataclass
 class Detector:
     formats: dict[str, Automaton]
+    floors: dict[str, float]
     ordinary: Automaton
     threshold: float
 
     def score(self, value: str) -> float:
-        """Nats by which the likeliest credential format beats the ordinary one."""
-        return max(a.log_likelihood(value) for a in self.formats.values()) - self.ordinary.log_likelihood(value)
+        """Nats by which the likeliest credential format that fits beats the ordinary one; minus infinity if none fits."""
+        fitting = [a.log_likelihood(value) for k, a in self.formats.items() if a.fit(value) >= self.floors[k]]
+        return max(fitting) - self.ordinary.log_likelihood(value) if fitting else -math.inf
+
+
+def floor(values: list[str], how: Training) -> float:
+    """The least fit of labelled values under the automaton of the other half, less the slack."""
+    halves = sorted(values)[::2], sorted(values)[1::2]
+    return min(a.fit(v) for a, rest in zip((infer(h, how.alpha) for h in halves), halves[::-1], strict=True) for v in rest) - how.slack
 
 
 def train(labelled: dict[str, list[str]], ordinary: list[str], how: Training) -> Detector | None:
-    formats = {k: infer(v, how.alpha) for k, v in sorted(labelled.items()) if len(v) >= how.least}
-    if not formats:
+    learnt = {k: v for k, v in sorted(labelled.items()) if len(v) >= how.least}
+    if not learnt:
         return None
-    d = Detector(formats, infer(ordinary, how.alpha), how.margin)
-    below = sorted(d.score(v) for v in ordinary)
-    if below:
-        d.threshold = max(d.threshold, below[int(how.spare * (len(below) - 1))])
+    formats, floors = {k: infer(v, how.alpha) for k, v in learnt.items()}, {k: floor(v, how) for k, v in learnt.items()}
+    pool = ordinary
+    for _ in range(how.turns):
+        d = Detector(formats, floors, infer(pool, how.alpha), how.margin)
+        clean = [v for v in ordinary if d.score(v) <= how.clear]
+        if clean == pool:
+            break
+        pool = clean
     return d
 
 

@@ -129,6 +129,19 @@ def test_automata_add_what_looks_like_a_credential(spark):
     assert clean[900] == "before [SECRET] after" and clean[901] == rows[-1][1] and "token" not in clean[0]
 
 
+@pytest.mark.parametrize("hidden", [2, 15, 600])
+def test_many_unlabelled_credentials_are_all_found(spark, hidden):
+    """However many of the candidates are credentials; two of different length are both found in a small table."""
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(rng.choice(["tion", "ing", "heit", "keit", "lich", "and"]) for _ in range(6))
+    rows = [(i, f'{prose(rng, 5)} token = "{key(40)}" {word()} {rng.randrange(10**15, 10**16)}') for i in range(300)]
+    rows += [(1000 + i, f"before {key(20 + i % 2)} after {word()}") for i in range(hidden)]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_automata.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(v == ["auto"] for i, v in got.items() if i >= 1000)
+    assert found >= 0.98 * hidden and all("auto" not in v for i, v in got.items() if i < 1000)
+
+
 def test_state_merging_generalises():
     rng = random.Random(4)
     a = secret_automata.infer(["".join(rng.choice("01ab") for _ in range(30)) for _ in range(400)], 0.05)
