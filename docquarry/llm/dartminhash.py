@@ -325,14 +325,14 @@ def remaining(bucket: DataFrame, roots: DataFrame, table: DataFrame, plan: Plan)
 
 
 def labelled(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, digest and class_id."""
+    """Per row: id, digest, class_id and root, which tells classes apart where ids do not; null without words."""
     table = sketch(docs, plan, id_col, text_col)
     rep, _, roots = link(table, plan)
     named = rep.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("digest", "first", F.coalesce("root", "uid").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    name = named.join(least, "root").select("digest", "class_id")
-    with_words = table.where("size > 0").select("id", "digest").join(name, "digest").select("id", "digest", "class_id")
-    return with_words.unionAll(table.where("size = 0").select("id", "digest", F.col("id").alias("class_id")))
+    name = named.join(least, "root").select("digest", "class_id", "root")
+    with_words = table.where("size > 0").select("id", "digest").join(name, "digest").select("id", "digest", "class_id", "root")
+    return with_words.unionAll(table.where("size = 0").select("id", "digest", F.col("id").alias("class_id"), F.lit(None).cast("long").alias("root")))
 
 
 def classes(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,33 +343,34 @@ def classes(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_c
 def representatives(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, of which one stays for each class: that of its least id.
 
-    Rows without words all stay.  If an id is repeated, one of its rows stays in the class that it names.
+    Rows without words all stay.  If an id is repeated or null, one of its rows stays in every class that it names.
     """
     said = write_shared(labelled(docs, plan, id_col, text_col), "classes")
     heads = said.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.coalesce(F.col("id") == F.col("class_id"), F.col("class_id").isNull())).alias("head"))
     keep = heads.where("head").select(F.col("id").alias("keep_id"), F.col("rows").alias("keep_rows"))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["keep_id"]))
+    kept = docs.join(keep, docs[id_col] == keep["keep_id"])  # rows without an id are looked at by digest only
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = kept.where("keep_rows = 1").select(*columns)
-    # Repeated ids: of the rows whose own class has the id as its name, the first; rows without words all
-    more = write_shared(_digests(kept.where("keep_rows > 1"), text_col).withColumn("keep_uid", F.monotonically_increasing_id()), "repeated")
-    named = said.where(F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest")).distinct()
-    own = more.where("keep_size > 0").select("keep_id", "keep_digest", "keep_uid").join(
+    # Repeated and null ids: for each class that the id names, the first of its rows there; rows without words all
+    many = kept.where("keep_rows > 1").select(*columns, "keep_id").unionAll(docs.where(docs[id_col].isNull()).select(*columns, docs[id_col].alias("keep_id")))
+    more = write_shared(_digests(many, plan, text_col).withColumn("keep_uid", F.monotonically_increasing_id()), "repeated")
+    named = said.where(F.col("root").isNotNull() & F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "root").distinct()
+    own = more.where("keep_size > 0").groupBy("keep_id", "keep_digest").agg(F.min("keep_uid").alias("keep_uid")).join(
         named, F.col("keep_id").eqNullSafe(F.col("own_id")) & (F.col("keep_digest") == F.col("own_digest")))
-    first = own.groupBy("keep_id").agg(F.min("keep_uid").alias("keep_uid")).select("keep_uid")
+    first = own.groupBy("root").agg(F.min("keep_uid").alias("keep_uid")).select("keep_uid")
     return once.unionAll(more.where("keep_size = 0").select(*columns)).unionAll(more.join(first, "keep_uid").select(*columns))
 
 
-def _digests(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with keep_digest and keep_size, as sketch() has them for weight="set"."""
+def _digests(docs: DataFrame, plan: Plan, text_col: str) -> DataFrame:
+    """The rows with keep_digest and keep_size, as sketch() has them."""
     from pyspark.sql.types import IntegerType, LongType, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(whole, text_col, 1 << 20):
                 w = words_of(b.column(text_col))
-                h, d, _ = distinct_by_text(*text_shingles(w))
-                key = _digest(h, np.ones(len(h), dtype=np.int64), d, w.docs)
+                h, d, n = distinct_by_text(*text_shingles(w))
+                key = _digest(h, np.ones_like(n) if plan.weight == "set" else n, d, w.docs)
                 size = np.bincount(d, minlength=w.docs)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key), pa.array(size, pa.int32())], [*b.schema.names, "keep_digest", "keep_size"])
 

@@ -58,6 +58,18 @@ def test_near_duplicates_whole_table(spark, sf):
     assert sorted(map(tuple, QUERIES["op3_dartminhash"](spark, sf).collect())) == sorted(brute_classes(rows))
 
 
+@pytest.mark.parametrize("weight", ["set", "count"])
+def test_one_row_of_each_class_stays_where_ids_are_null_or_equal(spark, weight):
+    rng = random.Random(8)
+    texts = [prose(rng, 60) for _ in range(24)]
+    rows = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:20]] + [(i, t) for i, t in enumerate(texts[20:])]
+    rows += [(None, texts[0]), (7, texts[12]), (7, texts[1] + " more"), (9, texts[2]), (9, texts[13]), (None, texts[20]), (None, None), (None, ""), (7, "")]
+    kept = dartminhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), dartminhash.Plan(weight=weight))
+    want = [(None, t) for t in (texts[0], *texts[3:12])] + [(7, texts[1] + " more"), (9, texts[2])] + [(7, t) for t in texts[12:20]]
+    want += [(i, t) for i, t in enumerate(texts[20:])] + [(None, None), (None, ""), (7, "")]
+    assert Counter(map(tuple, kept.collect())) == Counter(want)
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng, k = np.random.default_rng(1), 4000
     elem = rng.integers(0, 2**63, 60).astype(np.uint64)
