@@ -1,15 +1,16 @@
 """URL filter: rules first, then a path-template tree whose templates are rejected by labelled purity.
 
 Every path becomes a list of segment shapes (runs of digits, slugs and tails are variable at once).
-Per host and depth, a shape stays literal if enough of the host's pages have it; the others become
-the wildcard ``{*}``.  From the deepest level up, a literal branch whose labelled block rate is
+Per depth, a shape stays literal if ``Tree.support`` pages of all hosts together have it, whatever a host's size; the
+others become the wildcard ``{*}``.  From the deepest level up, a literal branch whose labelled block rate is
 compatible (Hoeffding) with that of all its siblings together is merged into their wildcard; a branch
 without labels gives no ground to merge it and stays.  A template is
 rejected if its block rate, smoothed by the rate of the same template over all hosts, which is smoothed by
 ``Tree.base``, reaches ``Tree.reject``; so one without labels anywhere is not.  Labels are the verdicts of the rules on the pages that they fit.
 
 All of it is DataFrame operations; what a host adds is first summed by (host, shapes), so a host with a
-third of all pages is no larger than its distinct shapes.  The list of rules becomes one expression and
+third of all pages is no larger than its distinct shapes.  Literals are joined as rows and branches are summed before
+they meet their siblings, so their number has no bound.  The list of rules becomes one expression and
 should stay in the hundreds.
 
 Defined results: a null url, or one without ``://``, has empty host and path; repeated rows and ids are judged
@@ -23,17 +24,18 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import write_shared
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WILD, DEPTH = "{*}", 4
 
 
 @dataclass(frozen=True)
 class Tree:
-    support: int = 5  # pages that a literal branch must have
-    share: float = 0.01  # and their share of the host's pages, so at most 1 / share literals a level
+    support: int = 5  # pages, of all hosts, that a literal segment must have
     alpha: float = 0.5  # of the Hoeffding test: a small bound, as purity backs off to all hosts anyway
     smoothing: float = 4.0
     reject: float = 0.5
@@ -82,32 +84,31 @@ def templates(urls: DataFrame, how: Tree = Tree()) -> DataFrame:
     seen = urls.groupBy("host", "shapes").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("said") == "block", 1)).alias("blocked"), F.count("said").alias("labelled")
     )
-    # Literals: how many pages of the host have the shape at the level
-    at = seen.select("host", "n", F.posexplode("shapes").alias("level", "shape")).groupBy("host", "level", "shape").agg(F.sum("n").alias("n"))
-    literal = (
-        at.groupBy("host", "level").agg(F.sum("n").alias("all")).join(at, ["host", "level"])
-        .where((F.col("n") >= how.support) & (F.col("n") >= how.share * F.col("all")))
-        .groupBy("host").agg(F.collect_set(F.concat(F.col("level").cast("string"), F.lit(":"), F.col("shape"))).alias("literals"))  # at most 1 / share for each of DEPTH + 1 levels
-    )
-    kept = F.coalesce(F.col("literals"), F.array().cast("array<string>"))
-    generalised = F.transform("shapes", lambda s, i: F.when(F.array_contains(kept, F.concat(i.cast("string"), F.lit(":"), s)), s).otherwise(F.lit(WILD)))
-    tree = seen.join(literal, "host", "left").select("host", "shapes", generalised.alias("template"), "n", "blocked", "labelled")
+    # Literals: how many pages have the shape at the level
+    forms = seen.groupBy("shapes").agg(F.sum("n").alias("n")).select("shapes", "n", F.posexplode("shapes").alias("level", "shape"))
+    literal = forms.groupBy("level", "shape").agg(F.sum("n").alias("all")).where(F.col("all") >= how.support).select("level", "shape", F.lit(True).alias("literal"))
+    segment = F.struct("level", F.when(F.col("literal"), F.col("shape")).otherwise(F.lit(WILD)).alias("segment"))
+    general = forms.join(literal, ["level", "shape"], "left").groupBy("shapes").agg(F.sort_array(F.collect_list(segment)).alias("s")).select("shapes", F.col("s.segment").alias("template"))
+    tree = write_shared(seen.join(general, "shapes").select("host", "shapes", "template", "n", "blocked", "labelled"), "url-tree")
     # Branches alike: deepest level first
     bound = math.sqrt(math.log(2 / how.alpha) / 2)
     rate = lambda b, n: b / F.greatest(n, F.lit(1))
-    branch = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("blocked", "labelled"))).withColumn("merged", F.col("template"))
+    sums = [F.sum(c).alias(c) for c in ("blocked", "labelled")]
+    counts = write_shared(tree.groupBy("host", "template").agg(*sums), "url-branches")
+    branch, own = counts.withColumn("merged", F.col("template")), counts.withColumnRenamed("template", "merged")
     for k in range(DEPTH, -1, -1):
-        parent = _wild_at("merged", k)
-        own, family = Window.partitionBy("host", "merged"), Window.partitionBy("host", "parent")
-        branch = branch.withColumn("parent", parent)
-        for name, w in (("own", own), ("all", family)):
-            branch = branch.withColumn(f"{name}_b", F.sum("blocked").over(w)).withColumn(f"{name}_n", F.sum("labelled").over(w))
-        far = bound * (1 / F.sqrt(F.greatest(F.col("own_n"), F.lit(1))) + 1 / F.sqrt(F.greatest(F.col("all_n"), F.lit(1))))
-        alike = (F.col("own_n") > 0) & (F.abs(rate(F.col("own_b"), F.col("own_n")) - rate(F.col("all_b"), F.col("all_n"))) <= far)
-        branch = branch.select("host", "template", "blocked", "labelled", F.when(alike, F.col("parent")).otherwise(F.col("merged")).alias("merged"))
+        own = own.withColumn("parent", _wild_at("merged", k))
+        family = own.groupBy("host", "parent").agg(F.sum("blocked").alias("all_b"), F.sum("labelled").alias("all_n"))
+        far = bound * (1 / F.sqrt(F.greatest(F.col("labelled"), F.lit(1))) + 1 / F.sqrt(F.greatest(F.col("all_n"), F.lit(1))))
+        alike = (F.col("labelled") > 0) & (F.abs(rate(F.col("blocked"), F.col("labelled")) - rate(F.col("all_b"), F.col("all_n"))) <= far)
+        moved = own.join(family, ["host", "parent"]).select("host", "merged", F.when(alike, F.col("parent")).otherwise(F.col("merged")).alias("new"), "blocked", "labelled")
+        moved = write_shared(moved, "url-merged")
+        branch = branch.join(moved.select("host", "merged", "new"), ["host", "merged"]).select("host", "template", "blocked", "labelled", F.col("new").alias("merged"))
+        own = moved.groupBy("host", F.col("new").alias("merged")).agg(*sums)
+    branch = write_shared(branch, "url-branches")
     # Purity: host's template, the template everywhere, the base rate
     m = how.smoothing
-    final = branch.groupBy("host", "merged").agg(*(F.sum(c).alias(c) for c in ("blocked", "labelled")))
+    final = branch.groupBy("host", "merged").agg(*sums)
     everywhere = branch.groupBy("template").agg(F.sum("blocked").alias("every_b"), F.sum("labelled").alias("every_n"))
     shared = (F.col("every_b") + m * how.base) / (F.col("every_n") + m)
     purity = (F.col("blocked") + m * shared) / (F.col("labelled") + m)

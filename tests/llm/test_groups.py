@@ -238,6 +238,16 @@ def test_urls(spark):
     assert url_templates.judge(df.limit(0), url_templates.rules_of(RULES)).count() == 0 and len(got) == len(rows) - 1
 
 
+def test_url_sections_of_large_and_small_hosts(spark):
+    """Sections of a host with many of them are judged each on their own; small hosts share what is known of a section."""
+    names = [a + b for a in "bcdfghjklmnpqrst" for b in "aeiouvwxyz"]
+    urls = [f"http://big.example.com/{s}/{i}" for s in [*names, "de", "es"] for i in range(20)] + [f"http://example.org/es/{i}" for i in range(20)]
+    urls += [f"http://small.example.net/{s}/{i}" for s in ("es", "de", "ba") for i in range(2)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r.verdict for r in url_templates.judge(df, url_templates.rules_of(RULES)).collect()}
+    assert got == {u: "block" if re.search("/(de|es)/", u) else "allow" for u in urls}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, at = docs.columns, docs
