@@ -155,24 +155,43 @@ def brute_covered(texts, k):
     return out
 
 
-@pytest.mark.parametrize("plan", [lyndon_dedup.Plan(), lyndon_dedup.Plan(hot=1), lyndon_dedup.Plan(length=60, seed=20)])
+@pytest.mark.parametrize("plan", [lyndon_dedup.Plan(), lyndon_dedup.Plan(gather=1), lyndon_dedup.Plan(length=60, seed=20, passage=30, words=6, gather=3), lyndon_dedup.Plan(passage=0)])
 def test_suffix_dedup(spark, odd_docs, no_docs, plan):
     rng = random.Random(6)
     passage = prose(rng, 120)
     more = [(700 + i, f"{prose(rng, rng.randrange(5, 90))} {passage[: rng.randrange(380, 420)]} {prose(rng, 20)}") for i in range(6)]
     more += [(720 + i, passage[:300] + f" changed{i % 2} " + passage[300:]) for i in range(3)] + [(730, "ab" * 450), (731, "é" * 260)]
+    short = prose(rng, 53)  # over 50 words, below 400 bytes
+    more += [(740 + i, f"{prose(rng, 30)} {short} {prose(rng, 30)}") for i in range(2)]
     docs = odd_docs.select("doc_id", "text").where("doc_id is null or doc_id not in (107, 108)").union(spark.createDataFrame(more, "doc_id long, text string"))
     rows = [(i, (t or "").encode()) for i, t in docs.collect()]
     want = Counter()
-    for (i, t), gone in zip(rows, brute_covered([t for _, t in rows], plan.length), strict=True):
+    near = brute_covered([t for _, t in rows], plan.passage) if plan.passage else [np.zeros(len(t), bool) for _, t in rows]
+    for (i, t), gone, also in zip(rows, brute_covered([t for _, t in rows], plan.length), near, strict=True):
         kept = np.frombuffer(t, dtype=np.uint8)[~gone].tobytes()
-        want[i, len(t), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], also.astype(int), [0])))).reshape(-1, 2)
+        passage = sum(int(b - a) for a, b in edge if len(t[a:b].split()) > plan.words)
+        want[i, len(t), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), hashlib.sha256(kept).hexdigest(), passage] += 1
     got = lyndon_dedup.deduplicate(docs, plan).collect()
-    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage) for r in got) == want
+    assert len(short) < 400 and (not plan.passage or all(sum(w[5] for w in want if w[0] == i) > 250 for i in (740, 741)))
     assert all(sum(s.end - s.start for s in r.removed) == r.n_removed for r in got)
     assert lyndon_dedup.deduplicate(no_docs, plan).count() == 0
 
 
+@pytest.mark.parametrize("length", [40, 41, 56])
+def test_cores_grow_to_the_window(length):
+    """Every window of a segment is in one half, down to windows alone; equal windows have equal cores on the way."""
+    rng = random.Random(3)
+    body = "".join(rng.choice("ab") for _ in range(70)).encode()
+    todo = [(body, 0, 30, 46)]
+    for _ in range(10):
+        todo = [(body[f : f + n - 1 + length], s + f, a - f, b - f) for body, s, c, d in todo for f, n, a, b in lyndon_dedup.halves(body, c, d, length)]
+        assert sorted(s + i for x, s, _, _ in todo for i in range(len(x) - length + 1)) == [w for w in range(70 - length + 1) if w <= 30 and w + length >= 46]
+        assert all(0 <= a and b <= len(x) and a <= b - 16 for x, _, a, b in todo)
+    assert all((a, b) == (0, length) and len(x) == length for x, _, a, b in todo)
+
+
 def test_chunks_find_repeats_and_leave_the_rest(spark, odd_docs, no_docs):
     rng = random.Random(8)
     passage = prose(rng, 55)
