@@ -7,14 +7,16 @@ is, and the Jaccard similarity that corresponds to the containment stays above a
 items have one-permutation MinHash signatures of ``BINS`` coordinates; one equal coordinate (bands of one row) makes a
 candidate.  A window's coordinate is worked out only where it holds a value of some item's signature, which
 gives the same candidates.  Candidates are verified by the exact share of the item's distinct shingles in the whole
-document.  With 64 coordinates the chance to miss an item contained to 0.8 is below e**-13.
+document.  With 64 coordinates the chance to miss an item contained to 0.8 is below e**-13.  A signature of few
+shingles has few coordinates, so for items with up to 2**``FEW`` shingles every common shingle makes a candidate: none is missed.
 
-Items are taken in blocks of about ``BLOCK`` shingles, each block against all rows, so what is sent to
-executors is bounded however many items there are.
+Items are taken in blocks of about ``BLOCK`` shingles, one block after the other against all rows, so what the driver holds and
+sends to executors is bounded however many items there are.
 
 Words are runs of letters and digits in lower case; shingles are of five words.  Defined results: null and
 empty texts contain nothing and are contained in nothing; an item of 1 to 4 words is one shingle of just these words;
-repeated rows give their own results; very long texts are searched whole; extra columns are ignored.
+repeated rows give their own results; very long texts are searched whole; an empty table of texts or of items gives no pair, and clean()
+keeps every row where there are no items; search() ignores extra columns, clean() keeps all columns whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import pieces, write_shared
 from docquarry.llm.words import SHINGLE, distinct_by_text, shingles, text_shingles, words_of
 
-BINS, BLOCK = 64, 2_000_000
+BINS, BLOCK, FEW = 64, 2_000_000, 4
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -119,22 +121,46 @@ class Index:
 
     def _candidates(self, p: Partition, h, d, first, hit) -> np.ndarray:
         """text * items + item where a window's signature shares a coordinate with an item's."""
-        step = 1 << p.log
         at = hit[_within(h[hit], p.hash)]
-        base = first[d[at]]
-        window = (at - base) // step
-        keep = np.zeros(len(at), dtype=bool)
-        for back in (0, 1):  # the two windows that hold the position
-            begin = base + np.maximum(window - back, 0) * step
-            end = np.minimum(begin + 2 * step, first[d[at] + 1])
-            least = np.ones(len(at), dtype=bool)
-            for j in range(2 * step):
-                other = np.minimum(begin + j, end - 1)
-                smaller = (h[other] < h[at]) & ((h[other] ^ h[at]) & np.uint64(BINS - 1) == 0)
-                least &= ~smaller
-            keep |= least
-        i, item = _expand(p.hash, p.item, h[at[keep]])
-        return d[at[keep]][i] * len(self.ids) + item
+        if len(at) and p.log > FEW:
+            step = 1 << p.log
+            base, end = first[d[at]], first[d[at] + 1]
+            window = (at - base) // step
+            keep = np.zeros(len(at), dtype=bool)
+            lowest = _Lowest(h, d, np.unique(d[at]), first)
+            for back in (0, 1):  # the two windows that hold the position
+                begin = base + np.maximum(window - back, 0) * step
+                keep |= lowest(at, begin, np.minimum(begin + 2 * step, end)) == h[at]
+            at = at[keep]
+        i, item = _expand(p.hash, p.item, h[at])
+        return d[at][i] * len(self.ids) + item
+
+
+class _Lowest:
+    """The least hash of a position's bin among the shingles [begin, end), by doubling: a pass for each power of two."""
+
+    def __init__(self, h: np.ndarray, d: np.ndarray, texts: np.ndarray, first: np.ndarray):
+        own = np.concatenate([np.arange(first[t], first[t + 1]) for t in texts])  # only texts that have a hit
+        bins = (h[own] & np.uint64(BINS - 1)).astype(np.int64)
+        order = np.argsort(bins, kind="stable")
+        self.place = own[order]  # by bin, then position
+        self.start = np.searchsorted(bins[order], np.arange(BINS + 1))
+        self.hash, self.bin = h[self.place], lambda at: (h[at] & np.uint64(BINS - 1)).astype(np.int64)
+        self.key = bins[order] * (len(h) + 1) + self.place
+        self.width = len(h) + 1
+
+    def __call__(self, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        shift = self.bin(at) * self.width
+        left, right = np.searchsorted(self.key, shift + begin), np.searchsorted(self.key, shift + end)  # never empty: at is inside
+        level = np.frexp((right - left).astype(float))[1] - 1
+        out, least = np.empty(len(at), dtype=np.uint64), self.hash
+        for j in range(int(level.max(initial=0)) + 1):
+            if j:
+                half = 1 << (j - 1)
+                least = np.minimum(least[:-half], least[half:])  # of 2**j values on end
+            mine = np.flatnonzero(level == j)
+            out[mine] = np.minimum(least[left[mine]], least[right[mine] - (1 << j)])
+        return out
 
 
 def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -157,23 +183,24 @@ def _expand(known: np.ndarray, payload: np.ndarray, x: np.ndarray) -> tuple[np.n
     return i, payload[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
 
 
-def blocks(items: DataFrame) -> list[Index]:
-    """The items as indexes of about BLOCK shingles each."""
+def blocks(items: DataFrame) -> Iterator[Index]:
+    """The items as indexes of about BLOCK shingles each, one at a time."""
     rows = write_shared(item_shingles(items), "items")
     total = rows.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     n = -(-total // BLOCK) or 1
     part = F.pmod(F.xxhash64("shingles"), F.lit(n))
-    return [Index.of(rows.where(part == i).collect()) for i in range(n)]
+    for i in range(n):
+        yield Index.of(rows.where(part == i).collect())
 
 
 def search(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs: the document's id, item_id, containment, shared and size (distinct shingles)."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    out = None
-    for index in blocks(items):
+    b_item = _arrow(items, "item_id")
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+    def with_block(index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for b in pieces(whole, "text", 1 << 20):
                     text, item, shared = index.search(b.column("text"), least)
@@ -182,10 +209,18 @@ def search(docs: DataFrame, items: DataFrame, least: float = 0.8, id_col: str =
                         "id": b.column("id").take(pa.array(text)), "item_id": pa.array([index.ids[i] for i in item], b_item), "containment": pa.array(shared / np.maximum(size, 1), pa.float64()),
                         "shared": pa.array(shared, pa.int32()), "size": pa.array(size, pa.int32())})
 
-        b_item = _arrow(items, "item_id")
-        found = src.mapInArrow(run, f"id {kind}, item_id {item_kind}, containment double, shared int, size int")
-        out = found if out is None else out.unionAll(found)
-    return out.withColumnRenamed("id", id_col)
+        return src.mapInArrow(run, f"id {kind}, item_id {item_kind}, containment double, shared int, size int")
+
+    return _one_after_another(map(with_block, blocks(items)), "found").withColumnRenamed("id", id_col)
+
+
+def _one_after_another(results: Iterator[DataFrame], name: str) -> DataFrame:
+    """The union; where a block follows, the one before is written, so that only one index is held at a time."""
+    out, last = None, next(results)
+    for df in results:
+        done = write_shared(last, name)
+        out, last = done if out is None else out.unionAll(done), df
+    return last if out is None else out.unionAll(last)
 
 
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
@@ -197,7 +232,7 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
 def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose text contains no item to ``least``."""
     out = docs
-    for index in blocks(items):
+    for i, index in enumerate(blocks(items)):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -206,5 +241,5 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, text_col: str =
                     keep[index.search(b.column(text_col), least)[0]] = False
                     yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = (write_shared(out, "clean") if i else out).mapInArrow(run, docs.schema)
     return out
