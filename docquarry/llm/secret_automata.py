@@ -3,29 +3,35 @@
 Base spans are the leftmost non-overlapping matches of each kind's pattern whose value is long
 enough.  Their values are the labelled credentials: per kind, state merging (the Hoeffding test of
 Alergia) turns the prefix tree of a bounded sample into a probabilistic automaton over character
-classes.  Every other run of 16 or more token characters is a candidate; its format likelihood under the
+classes.  Every other run of 16 or more token characters, and what base spans leave of a run if that is as long, is a candidate; its
+format likelihood under the
 best credential automaton, against an automaton of ordinary candidates, decides by a fixed margin whether it becomes
 a span of kind ``auto``.  The candidates contain the unlabelled credentials, so those that score like a format are cleared
 from what the ordinary automaton learns; and a format counts only for runs that fit it as held-out labelled values do.
 
-Bounds: at most ``Training.most`` distinct values a kind are read into the driver, chosen by hash
-over the whole table.  A kind with fewer than ``Training.least`` distinct values gets no automaton; without
+Bounds (documented sample): of each kind the distinct values of lowest hash over the whole table, at most ``Training.most`` of them,
+are read into the driver and learnt from whole; values of more than ``Training.longest`` characters are no members
+of the sample, nor those beyond ``Training.characters`` in all.  All values, however long, are searched and scored whole.  A kind with fewer than ``Training.least`` distinct values gets no automaton; without
 any automaton no span is added.
 
 Defined results: null and empty texts have no spans; long texts are searched whole; repeated rows and ids
-are scanned each on their own; an empty table gives an empty result; other columns are ignored.
+are scanned each on their own; an empty table gives an empty result; scan() ignores other columns, redact() keeps all columns
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import pieces, texts_of, write_shared
@@ -35,7 +41,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Maximal runs that may be credentials; matches of ACCESS and HEX that are long enough lie inside them.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Character classes of the automata and their sizes.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", "-", ".")
 SYMBOL = {c: i for i, chars in enumerate(CLASSES) for c in chars}
@@ -45,6 +52,8 @@ END = len(CLASSES)
 @dataclass
 class Training:
     most: int = 3000  # distinct values of a kind, and of ordinary candidates, that are learnt from
+    longest: int = 256  # characters of a value that is learnt from: merging a fixed-length format takes their third power
+    characters: int = 1_200_000  # of all values of a kind that are learnt from
     least: int = 8
     alpha: float = 0.05  # of the Hoeffding test
     margin: float = 12.0  # nats by which a credential format must be likelier than the ordinary one
@@ -69,14 +78,20 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int, str]], list[tuple[i
 
 
 def free_runs(spans, runs):
-    """Candidates that touch no base span."""
-    out, k, stop = [], 0, -1
-    for r in runs:  # both by start
-        while k < len(spans) and spans[k][1] < r[1]:
-            stop = max(stop, spans[k][2])
+    """Candidates apart from base spans: whole runs, and what spans leave of a run where that is long enough."""
+    out, k = [], 0
+    for start, end, value in runs:  # both by start
+        while k < len(spans) and spans[k][2] <= start:
             k += 1
-        if stop <= r[0]:
-            out.append(r)
+        at = start
+        for _, a, b, _ in spans[k:]:
+            if a >= end:
+                break
+            if a - at >= LEAST:
+                out.append((at, a, value[at - start : a - start]))
+            at = max(at, b)
+        if end - at >= LEAST:
+            out.append((at, end, value[at - start :]))
     return out
 
 
@@ -120,17 +135,15 @@ class _Tree:
                     self.through.append(defaultdict(int))
                 at = self.next[at][s]
             self.through[at][END] += 1
-
-    def total(self, q: int) -> int:
-        return sum(self.through[q].values())
+        self.total = [sum(x.values()) for x in self.through]
 
     def alike(self, a: int, b: int) -> bool:
         """Hoeffding compatibility of two states and, along common symbols, of what follows."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            n, m = self.total(a), self.total(b)
-            if not n or not m:
+            n, m = self.total[a], self.total[b]
+            if not n or m <= self.bound**2:  # too few to differ, here and in all that follows b
                 continue
             far = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             if any(abs(self.through[a].get(s, 0) / n - self.through[b].get(s, 0) / m) > far for s in self.through[a].keys() | self.through[b].keys()):
@@ -145,6 +158,7 @@ class _Tree:
             a, b = todo.pop()
             if a == b:
                 continue
+            self.total[a] += self.total[b]
             for s, n in self.through[b].items():
                 self.through[a][s] += n
             for s, t in self.next[b].items():
@@ -156,13 +170,14 @@ class _Tree:
 
 def infer(values: list[str], alpha: float) -> Automaton:
     """Red-blue state merging in breadth-first order."""
-    t, red, blue = _Tree(sorted(values), alpha), [0], []
+    t, red = _Tree(sorted(values), alpha), [0]
+    known = {0}
     while True:
-        known = set(red)
-        blue = [(q, s, x) for q in red for s, x in sorted(t.next[q].items()) if x not in known]
-        if not blue:
+        # Merging changes the blue states below a red one and their counts, so they are looked up each time
+        size, x, q, s = max(((t.total[x], -x, q, s) for q in red for s, x in t.next[q].items() if x not in known), default=(0, 0, 0, 0))
+        if not size:
             break
-        q, s, x = max(blue, key=lambda e: (t.total(e[2]), -e[2]))
+        x = -x
         for r in red:
             if t.alike(r, x):
                 t.next[q][s] = r
@@ -170,10 +185,11 @@ def infer(values: list[str], alpha: float) -> Automaton:
                 break
         else:
             red.append(x)
+            known.add(x)
     index = {q: i for i, q in enumerate(red)}
     steps = []
     for q in red:
-        n = t.total(q) + 0.5 * (END + 1)
+        n = t.total[q] + 0.5 * (END + 1)
         row = []
         for s in range(END + 1):
             size = len(CLASSES[s]) if s < END else 1
@@ -239,19 +255,35 @@ def find_base(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def learn(found: DataFrame, how: Training) -> Detector | None:
-    """Trains on the distinct values of lowest hash of each kind, ``how.most`` at the most."""
-    def rows(column: str, kind):
-        return found.select(F.explode(column).alias("x")).select(kind.alias("kind"), F.col("x.value").alias("value"))
-
-    every = rows("spans", F.col("x.kind")).unionAll(rows("runs", F.lit("ordinary"))).distinct()
-    every = every.withColumn("h", F.xxhash64("value"))
-    part = None
-    for kind in ("assign", "access", "hex", "ordinary"):
-        x = every.where(F.col("kind") == kind).orderBy("h", "value").limit(how.most)
-        part = x if part is None else part.unionAll(x)
-    by = defaultdict(list)
-    for r in part.collect():
-        by[r["kind"]].append(r["value"][:400])  # a format shows in its first characters; a scored value is taken whole
+    """Trains on the distinct values of lowest hash of each kind: each task sends its lowest, the driver gets ``how.most`` at the most."""
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, dict[str, int]] = {k: {} for k in (*KINDS[:3], "ordinary")}
+
+        def put(kind: str, value: str) -> None:
+            if len(value) <= how.longest and value not in best[kind]:
+                best[kind][value] = xxhash.xxh64_intdigest(value) >> 1
+                if len(best[kind]) > 4 * how.most:
+                    best[kind] = dict(sorted(best[kind].items(), key=lambda e: (e[1], e[0]))[: how.most])
+
+        for b in batches:
+            for spans, runs in zip(b.column("spans").to_pylist(), b.column("runs").to_pylist(), strict=True):
+                for x in spans:
+                    put(x["kind"], x["value"])
+                for x in runs:
+                    put("ordinary", x["value"])
+        rows = [(k, h, v) for k, values in best.items() for v, h in sorted(values.items(), key=lambda e: (e[1], e[0]))[: how.most]]
+        kind, h, value = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.string()), "h": pa.array(h, pa.int64()), "value": pa.array(value, pa.string())})
+
+    every = found.select("spans", "runs").mapInArrow(lowest, "kind string, h long, value string").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
+    by: dict[str, list[str]] = defaultdict(list)
+    for r in every.withColumn("place", place).where(F.col("place") <= how.most).orderBy("kind", "place").collect():
+        by[r["kind"]].append(r["value"])
+    for kind, values in by.items():
+        sizes = list(accumulate(map(len, values)))
+        by[kind] = values[: bisect_right(sizes, how.characters)]
     return train({k: v for k, v in by.items() if k != "ordinary"}, by["ordinary"], how)
 
 
