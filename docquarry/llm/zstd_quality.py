@@ -5,13 +5,15 @@ trained on bad text.  (bad size - good size) / size without a dictionary is posi
 is more like good text; a logistic curve fitted on labelled texts that neither dictionary saw turns
 it into a probability.  Blocks keep the dictionary effective over all of a long text.
 
-Bounds (documented sample): at most ``Training.most_docs`` labelled documents, those of lowest
-id hash, of which at most ``most_blocks`` blocks spread over the whole text are read into the driver.
+Bounds (documented sample): at most ``Training.most_docs`` labelled documents, those of lowest id hash.  Their whole texts are cut
+into blocks, and of all blocks of each label ``most_blocks``, those of lowest hash wherever they stand, train its dictionary in the
+driver.  The documents for calibration are scored whole on the cluster; the driver gets two numbers each.
 
 Defined results: null and empty texts score what a difference of zero scores; very long texts are
 compressed whole; repeated rows score alike; several labels of one document count by majority, ties as
-good; null labels and labels of unknown documents are ignored; with one class only (or none) every text
-scores the smoothed share of good labels; extra columns pass or are ignored as said below.
+good; null labels and labels of unknown documents are ignored; a labelled id with several rows counts once, with its least text; with
+one class only (or none), or too little text for a dictionary, every text scores the smoothed share of good labels; an empty table
+of documents gives an empty result; extra columns are ignored by score() and kept by keep(), whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import fold, texts_of
+from docquarry.llm.common import fold, texts_of, write_shared
 
 
 @dataclass(frozen=True)
 class Training:
     most_docs: int = 4000
-    most_blocks: int = 12
+    most_blocks: int = 12_000  # of each label
     block: int = 4096  # bytes compressed at a time when scoring
     sample_block: int = 2048  # bytes of a training block
     dictionary: int = 112_640
@@ -47,20 +51,15 @@ class Model:
     slope: float
     how: Training
 
-    def scorer(self):
-        """A function text -> score; opens its compressors once."""
-        if not self.good:
-            flat = 1 / (1 + math.exp(-self.intercept))
-            return lambda text: flat
-        import zstandard
-
+    def measure(self):
+        """A function text -> (bad size - good size) / plain size; opens its compressors once."""
         open_ = lambda raw: zstandard.ZstdCompressor(
             level=self.how.level, write_content_size=False, write_checksum=False, write_dict_id=False,
             **({"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}))
         good, bad, none = (open_(x).compress for x in (self.good, self.bad, b""))
         step = self.how.block
 
-        def score(text: str) -> float:
+        def of(text: str) -> float:
             raw = text.encode()
             g = b = n = 0
             for i in range(0, len(raw), step):
@@ -68,17 +67,14 @@ class Model:
                 g += len(good(part))
                 b += len(bad(part))
                 n += len(none(part))
-            return 1 / (1 + math.exp(-(self.intercept + self.slope * (b - g) / max(n, 1))))
-
-        return score
+            return (b - g) / max(n, 1)
 
+        return of
 
-def _spread(text: str, size: int, most: int) -> list[bytes]:
-    raw = text.encode()
-    parts = [raw[i : i + size] for i in range(0, len(raw), size)]
-    if len(parts) <= most:
-        return parts
-    return [parts[i * len(parts) // most] for i in range(most)]
+    def scorer(self):
+        """A function text -> score."""
+        measure = self.measure() if self.good else lambda _: 0.0
+        return lambda text: 1 / (1 + math.exp(-(self.intercept + self.slope * measure(text))))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -96,30 +92,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1] / scale)
 
 
-def fit(rows: list[tuple[int, str | None, int]], how: Training = Training()) -> Model:
-    """A model from (hash, text, label): low hashes calibrate, the others make the dictionaries."""
-    good = sum(q for *_, q in rows)
-    flat = Model(b"", b"", math.log((good + 1) / (len(rows) - good + 1)), 0.0, how)
-    if not 0 < good < len(rows):
-        return flat
-    import zstandard
-
-    held = lambda h: h % 1000 < 1000 * how.calibration
-    dictionaries = []
-    for label in (1, 0):
-        parts = [p for h, t, q in rows if q == label and not held(h) for p in _spread(t or "", how.sample_block, how.most_blocks)]
-        try:
-            dictionaries.append(zstandard.train_dictionary(min(how.dictionary, max(1024, sum(map(len, parts)) // 4)), parts).as_bytes())
-        except (zstandard.ZstdError, ValueError):  # too little text for the trainer
-            return flat
-    m = Model(*dictionaries, 0.0, 1.0, how)
-    score = m.scorer()
-    kept = [(t or "", q) for h, t, q in rows if held(h)]
-    if len({q for _, q in kept}) < 2:
-        return flat
-    p = np.clip(np.array([score(t) for t, _ in kept]), 1e-12, 1 - 1e-12)
-    a, b = _logistic(np.log(p / (1 - p)), np.array([q for _, q in kept], dtype=float))
-    return Model(*dictionaries, a, b, how)
+def dictionaries(good: list[bytes], bad: list[bytes], how: Training) -> tuple[bytes, bytes]:
+    """One dictionary of each label's blocks; empty ones where there is too little text for the trainer."""
+    try:
+        return tuple(zstandard.train_dictionary(min(how.dictionary, max(1024, sum(map(len, x)) // 4)), x).as_bytes() for x in (good, bad))
+    except (zstandard.ZstdError, ValueError):
+        return b"", b""
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
@@ -130,20 +108,39 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
         .select("i", F.when(F.col("q") >= 0.5, 1).otherwise(0).alias("q"), F.xxhash64("i").alias("h"))
         .orderBy("h", "i").limit(how.most_docs)
     )
-    # most_docs rows of three numbers: a bounded broadcast
-    rows = docs.select(docs["doc_id"].alias("i"), docs["text"].alias("t")).join(F.broadcast(marked), "i").select("h", "i", "t", "q")
-    size, most = how.sample_block, how.most_blocks
+    # most_docs rows of three numbers: a bounded broadcast.  Low hashes calibrate, the others make the dictionaries
+    rows = docs.select(docs["doc_id"].alias("i"), docs["text"].alias("t")).join(F.broadcast(marked), "i").groupBy("i", "h", "q").agg(F.min("t").alias("t"))
+    rows = write_shared(rows.withColumn("held", F.pmod("h", F.lit(1000)) < int(1000 * how.calibration)), "labelled")
+    size = how.sample_block
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [b"".join(_spread(t, size, most)).decode("utf-8", "ignore") for t in texts_of(b, "t")]
-            yield pa.RecordBatch.from_pydict({"h": b.column("h"), "i": b.column("i").cast(pa.string()), "t": pa.array(texts, pa.string()), "q": b.column("q")})
-
-    got = rows.mapInArrow(cut, "h long, i string, t string, q int").collect()
-    once = {}
-    for r in sorted(got, key=lambda r: (r["h"], r["t"])):  # a document that is there twice counts once
-        once.setdefault(r["i"], (r["h"], r["t"], r["q"]))
-    return fit(sorted(once.values()), how)
+            for h, text, q in zip(b.column("h").to_pylist(), texts_of(b, "t"), b.column("q").to_pylist(), strict=True):
+                raw = text.encode()
+                blocks = [raw[i : i + size] for i in range(0, len(raw), size)]
+                yield pa.RecordBatch.from_pydict({"q": pa.array([q] * len(blocks), pa.int32()), "raw": pa.array(blocks, pa.binary()),
+                                                  "h": pa.array([xxhash.xxh64_intdigest(x, seed=n) >> 1 for n, x in enumerate(blocks, h & 0xFFFFFFFF)], pa.int64())})
+
+    blocks = rows.where("not held").select("h", "t", "q").mapInArrow(cut, "q int, raw binary, h long")
+    chosen = [sorted((r["h"], bytes(r["raw"])) for r in blocks.where(F.col("q") == q).orderBy("h", "raw").limit(how.most_blocks).collect()) for q in (1, 0)]
+    total = rows.agg(F.coalesce(F.sum("q"), F.lit(0)), F.count(F.lit(1))).first()
+    flat = Model(b"", b"", math.log((total[0] + 1) / (total[1] - total[0] + 1)), 0.0, how)
+    if not all(chosen):
+        return flat
+    model = Model(*dictionaries(*([raw for _, raw in x] for x in chosen), how), 0.0, 1.0, how)
+    if not model.good:
+        return flat
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.measure()
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"x": pa.array([of(t) for t in texts_of(b, "t")], pa.float64()), "q": b.column("q")})
+
+    kept = rows.where("held").select("t", "q").mapInArrow(measure, "x double, q int").orderBy("x", "q").collect()
+    if len({r["q"] for r in kept}) < 2:
+        return flat
+    a, b = _logistic(np.array([r["x"] for r in kept]), np.array([r["q"] for r in kept], dtype=float))
+    return Model(model.good, model.bad, a, b, how)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
