@@ -1,13 +1,14 @@
 """Language model by deleted interpolation of bigram, unigram and uniform estimates.
 
 P(w | h) = l2(b) c(h,w) / c(h) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the context's
-frequency (its power of two).  The mixture weights of each bucket are learnt by expectation-maximisation on held-out
+frequency (its power of two); l2 is 0 in the bucket of contexts that were never seen, so every context's probabilities sum to 1, with
+all unknown tokens together as one.  The mixture weights of each bucket are learnt by expectation-maximisation on held-out
 counts: the counts of one fold of the training documents are estimated from those of the other training folds.
 Afterwards both together give the model's counts.
 
 Tokens are the maximal runs without white space, A-Z as a-z, then one end token a document, which is also the
-context of a document's first token.  Counts are of all training documents and exact for tokens (64-bit
-hashes); bigrams are told apart by 48 bits of hash.
+context of a document's first token.  Counts are of all training documents; tokens and bigrams are told apart by 64 bits of
+hash, totals are 64-bit.  The order is 2: trigrams nearly double what the exchange sends, beyond the disk the check tool allows.
 
 How it runs: documents are tokenised once into chunks (token indices and distinct token hashes, written to
 the shared folder).  Chunks ask for the totals of their distinct tokens and bigrams in compressed blobs
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,8 @@ from docquarry.llm.words import TOKEN, words_of
 
 END = np.uint64(0x2545F4914F6CDD1D)
 _PAIR = np.uint64(0xA0761D6478BD642F)
-#: Tokens of a chunk, bits of a bigram's hash, width of a ratio bin (natural log) and number of context buckets.
-CHUNK, BITS, STEP, BUCKETS = 1_000_000, 48, 0.25, 48
+#: Tokens of a chunk, width of a ratio bin (natural log) and number of context buckets.
+CHUNK, STEP, BUCKETS = 1_000_000, 0.25, 48
 TEST, HELD = 1, 2  # folds: never learnt from; held out for the weights
 
 
@@ -102,7 +104,7 @@ class _Chunk:
         self.end = int(np.searchsorted(self.known, END))
         with np.errstate(over="ignore"):
             context = np.concatenate(([END], h[:-1]))
-            pair = mix64(context * _PAIR + h) >> np.uint64(64 - BITS)
+            pair = mix64(context * _PAIR + h)
         self.context = np.concatenate(([self.end], self.token[:-1]))
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
 
@@ -117,6 +119,13 @@ class _Chunk:
 _COLUMNS = ("fold", "n", "size", "distinct", "tokens")
 
 
+def added(at: np.ndarray, counts: list[np.ndarray], size: int) -> np.ndarray:
+    """64-bit sums of the counts, by index."""
+    out = np.zeros(size, dtype=np.uint64)
+    np.add.at(out, at, np.concatenate(counts).astype(np.uint64))
+    return out
+
+
 def totals(chunks: DataFrame, log: int) -> DataFrame:
     """Answers (chunk, order, bucket, size, blob) for every chunk; rows of chunk -1 hold a bucket's sums."""
 
@@ -124,7 +133,7 @@ def totals(chunks: DataFrame, log: int) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 for order, keys, main, held in _Chunk(row).counts():
-                    at = cuts(keys, 64 if order == 1 else BITS, log)
+                    at = cuts(keys, 64, log)
                     yield pa.RecordBatch.from_pydict({
                         "bucket": pa.array(np.arange(1 << log), pa.int32()), "chunk": pa.array([row["chunk"]] * (1 << log), pa.int64()), "order": pa.array([order] * (1 << log), pa.int32()),
                         "size": pa.array(np.diff(at), pa.int32()), "blob": pa.array([pack_sorted(keys[i:j], main[i:j], held[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
@@ -142,9 +151,9 @@ def totals(chunks: DataFrame, log: int) -> DataFrame:
             if not own:
                 continue
             keys, at = np.unique(np.concatenate([x[0] for *_, x in own]), return_inverse=True)
-            main, held = (np.bincount(at, weights=np.concatenate([x[i] for *_, x in own]), minlength=len(keys)).astype(np.uint32) for i in (1, 2))
+            main, held = (added(at, [x[i] for *_, x in own], len(keys)) for i in (1, 2))
             if order == 1:
-                put(-1, 1, key[0].as_py(), 0, b"", int(((main + held) > 0).sum()), int(main.sum(dtype=np.int64)), int(held.sum(dtype=np.int64)))
+                put(-1, 1, key[0].as_py(), 0, b"", int(((main + held) > 0).sum()), int(main.sum()), int(held.sum()))
             begin = 0
             for c, s, _ in own:
                 mine = at[begin : begin + s]
@@ -161,7 +170,7 @@ def _opened(left: pa.Table, right: pa.Table) -> tuple[_Chunk, dict, np.ndarray,
     """The chunk, its row, and its distinct tokens' and bigrams' counts (main, held-out)."""
     row = left.to_pylist()[0]
     parts = sorted(zip(*(right.column(c).to_pylist() for c in ("order", "bucket", "size", "blob")), strict=True))
-    got = {o: [unpack(raw, s, np.uint32, np.uint32) for p, _, s, raw in parts if p == o] for o in (1, 2)}
+    got = {o: [unpack(raw, s, np.uint64, np.uint64) for p, _, s, raw in parts if p == o] for o in (1, 2)}
     one = [np.concatenate([x[i] for x in got[o]]).astype(np.float64) for o in (1, 2) for i in (0, 1)]
     return _Chunk(row), row, *one
 
@@ -218,17 +227,33 @@ def expectation_maximisation(bucket: np.ndarray, likelihood: np.ndarray, n: np.n
 
     even = np.full(3, 1 / 3)
     every = em(np.ones(len(n), dtype=bool), even, 1e-3) if len(n) else even
-    return np.stack([em(bucket == b, every, 10.0) if (bucket == b).any() else every for b in range(BUCKETS)])
+    out = np.stack([em(bucket == b, every, 10.0) if (bucket == b).any() else every for b in range(BUCKETS)])
+    out[0, 2] = 0.0  # a context that was never seen has no bigram estimate
+    return out / out.sum(axis=1, keepdims=True)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    log = bucket_log(input_bytes(docs))
+@dataclass(frozen=True)
+class Model:
+    """Training tokens, distinct ones, and the mixture weights."""
+
+    every: int
+    distinct: int
+    weights: np.ndarray
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Model]:
+    """Chunks, totals and the model."""
     chunks = tokenise(docs, id_col, text_col)
-    answers = totals(chunks, log)
+    answers = totals(chunks, bucket_log(input_bytes(chunks), 12 << 20))
     s = answers.where("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "main", "held"))).first()
     distinct, main, every = int(s[0]), int(s[1]), int(s[1] + s[2])
-    weights = learn_weights(chunks, answers, main, distinct)
+    return chunks, answers, Model(every, distinct, learn_weights(chunks, answers, main, distinct))
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    chunks, answers, model = learn(docs, id_col, text_col)
+    every, distinct, weights = model.every, model.distinct, model.weights
     base, uniform = math.log10(every + 0.5 * (distinct + 1)), 1 / (distinct + 1)
     kind = docs.schema[id_col].dataType.simpleString()
 
