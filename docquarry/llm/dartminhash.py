@@ -10,18 +10,22 @@ is thrown again with twice the threshold.
 
 Joining: texts with the same weighted set are one row first.  Bands of the signature give buckets; in
 a bucket every member is compared with the bucket's least, never all with all.  Links are verified
-by the exact weighted Jaccard similarity.  Next, members of a bucket that are still in different classes are
+by the weighted Jaccard similarity of the sets (of 48-bit shingle hashes: two texts of 10,000 shingles have a false common one with
+probability 4e-7).  Next, members of a bucket that are still in different classes are
 compared with the least and the highest class's first member, until a round finds no new link.  What
-is still in one bucket but different classes is compared last, inside the bucket's task where sizes and signatures allow
-0.8, so no link is lost for want of a common centre.  Two texts at 0.8 share a bucket with probability 1 - 3e-6 and
-about ten buckets on average.
+is still in one bucket but different classes is compared last, whatever the bucket's size: those outside its largest class, in blocks,
+with all members, in blocks, each pair in the first bucket that it shares.  So no link is lost for want of a common centre, no task gets more
+than two blocks, and only links come out.  The price is quadratic in the members outside the largest class: a bucket of many
+texts that are alike, but below 0.8 all of them, is compared throughout.  Two texts at 0.8 share a bucket with probability
+1 - 3e-6, about ten buckets on average; one byte a coordinate keeps most dissimilar pairs from the exact comparison, and loses 2e-10 of those at 0.8.
 
 Words are runs of letters and digits in lower case.  With ``weight="set"``, as in the query, each
 distinct shingle has weight 1, so similarity is plain Jaccard; with "count", its number of occurrences.
 
 Defined results: a text without words (null, empty, only marks) is a class of its own; a text of 1 to 4 words is one
-shingle; equal texts and repeated rows share a class; a class is named by its least id (null only if
-all its ids are null); extra columns are ignored by classes() and kept by representatives().
+shingle; very long texts are taken whole; equal texts and repeated rows share a class; a class is named by its least id (null only if
+all its ids are null); an empty table gives an empty result; extra columns are ignored by classes() and kept by representatives(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -133,24 +138,24 @@ def band_hashes(sig: np.ndarray, plan: Plan) -> np.ndarray:
     return h
 
 
-def pack(h: np.ndarray, n: np.ndarray) -> bytes:
-    """A weighted set with sorted 64-bit hashes as bytes: upper 32 bits of each hash, counts where any is above 1."""
-    import zstandard
+#: Bytes of a shingle's hash in a packed set.
+WIDTH = 6
+
 
-    short = (h >> np.uint64(32)).astype(np.uint32)
-    delta = np.diff(short, prepend=np.uint32(0)).astype(np.uint32)
-    planes = delta.view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(h: np.ndarray, n: np.ndarray) -> bytes:
+    """A weighted set with sorted 64-bit hashes as bytes: upper 48 bits of each hash, counts where any is above 1."""
+    short = h >> np.uint64(64 - 8 * WIDTH)
+    planes = np.diff(short, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)[:, :WIDTH].T.tobytes()
     more = n.astype(np.uint32).tobytes() if (n > 1).any() else b""
     return zstandard.ZstdCompressor(level=1, write_checksum=False).compress(planes + more)
 
 
 def unpack(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
-    import zstandard
-
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=8 * size + 64), dtype=np.uint8)
-    delta = np.ascontiguousarray(data[: 4 * size].reshape(4, size).T).view(np.uint32).ravel()
-    n = data[4 * size :].view(np.uint32) if len(data) > 4 * size else np.ones(size, dtype=np.uint32)
-    return np.cumsum(delta, dtype=np.uint32), n
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=(WIDTH + 4) * size + 64), dtype=np.uint8)
+    delta = np.zeros((size, 8), dtype=np.uint8)
+    delta[:, :WIDTH] = data[: WIDTH * size].reshape(WIDTH, size).T
+    n = data[WIDTH * size :].view(np.uint32) if len(data) > WIDTH * size else np.ones(size, dtype=np.uint32)
+    return np.cumsum(delta.view(np.uint64).ravel(), dtype=np.uint64), n
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -173,7 +178,7 @@ def _digest(h: np.ndarray, n: np.ndarray, d: np.ndarray, docs: int) -> np.ndarra
 
 
 def sketch(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, uid, digest of the weighted set, size (distinct shingles), bands, packed set.  Written to the shared folder."""
+    """Per row: id, uid, digest of the weighted set, size (distinct shingles), bands, a byte a coordinate, packed set.  Written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -182,16 +187,17 @@ def sketch(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str =
                 h, d, n = distinct_by_text(*text_shingles(w))
                 if plan.weight == "set":
                     n = np.ones_like(n)
-                bands = band_hashes(signatures(h, n.astype(float), d, w.docs, plan.k), plan)
+                sig = signatures(h, n.astype(float), d, w.docs, plan.k)
+                bands, short = band_hashes(sig, plan), mix64(sig).astype(np.uint8)
                 key = _digest(h, n, d, w.docs)
                 end = np.searchsorted(d, np.arange(w.docs + 1))
                 raw = [pack(h[end[i] : end[i + 1]], n[end[i] : end[i + 1]]) for i in range(w.docs)]
                 yield pa.RecordBatch.from_pydict({
                     "id": b.column("id"), "digest": pa.array(key), "size": pa.array(np.diff(end), pa.int32()),
-                    "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), "raw": pa.array(raw, pa.binary())})
+                    "bands": pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), "short": pa.array([x.tobytes() for x in short], pa.binary()), "raw": pa.array(raw, pa.binary())})
 
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    made = src.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, digest long, size int, bands array<long>, raw binary")
+    made = src.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, digest long, size int, bands array<long>, short binary, raw binary")
     return write_shared(made.withColumn("uid", F.monotonically_increasing_id()), "sketch")
 
 
@@ -264,36 +270,39 @@ def link(table: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]
     return rep, links.unionAll(more), extend(roots, more.select("a", "b"))
 
 
-#: Pairs of different classes up to which a bucket is looked at as a whole by remaining(); bands that two texts must share there.
-WHOLE, AGREE = 4_000_000, 3
+#: Members outside the largest class, and members, that one task of remaining() compares.
+OUTSIDE, MEMBERS = 256, 1024
 
 
 def remaining(bucket: DataFrame, roots: DataFrame, table: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b, similarity) between texts of one bucket that are in different classes.
 
-    The sets go to their buckets once each and are compared there; only links come out.  A pair is compared in the first
-    band that it shares, if it shares AGREE (at 0.8 the chance is 1 - 4e-4) and its sizes allow the similarity, and not once its classes
-    have met.  A bucket with more than WHOLE pairs is split by every second band that members share.
+    Every member outside the bucket's largest class meets every member: blocks of OUTSIDE against blocks of MEMBERS, a
+    task each, so that sets are copied but no pair is a row.  A pair is compared in the first band that it shares, if its sizes allow the
+    similarity, and not once its classes have met in the task.
     """
     here = bucket.select("band", "uid").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     by_class = here.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_class.groupBy("band").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count(F.lit(1)).alias("classes"))
-    mixed = mixed.where("classes > 1").select("band", (F.col("all") * F.col("all") - F.col("within")).alias("across"))
-    rows = write_shared(here.join(mixed, "band"), "mixed")
+    mixed = by_class.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    blocks = lambda n, each: F.ceil(n / each).cast("int")
+    mixed = mixed.select("band", F.col("major.root").alias("major"), blocks(F.col("all") - F.col("major.n"), OUTSIDE).alias("rows"), blocks(F.col("all"), MEMBERS).alias("columns"))
+    near = here.join(mixed, "band").withColumn("h", F.xxhash64("uid"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    asks = near.where("root <> major").select("band", "uid", "root", F.lit(True).alias("asks"), own("rows").alias("i"), every("columns").alias("j"), "major")
+    met = near.select("band", "uid", "root", F.lit(False).alias("asks"), own("columns").alias("j"), every("rows").alias("i"), "major").select(asks.columns)
+    rows = write_shared(asks.unionAll(met), "mixed")
     if rows.count() <= SMALL:
         rows = F.broadcast(rows)
-    rows = table.select("uid", "size", "bands", "raw").join(rows, "uid")
-    rest = ("uid", "root", "size", "bands", "raw")
-    small = rows.where(F.col("across") <= WHOLE).select("band", F.col("band").alias("second"), *rest)
-    large = rows.where(F.col("across") > WHOLE).select("band", F.explode("bands").alias("second"), *rest).where("second <> band")
+    rows = table.select("uid", "size", "bands", "short", "raw").join(rows, "uid")
+    floor = plan.k * plan.least - 6.3 * math.sqrt(plan.k * plan.least * (1 - plan.least))  # of equal coordinates
 
     def compare(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        band, second = key[0].as_py(), key[1].as_py()
-        t = t.sort_by("uid")
-        uid, root, size = (t.column(c).to_numpy() for c in ("uid", "root", "size"))
-        bands, raw = np.array(t.column("bands").to_pylist(), dtype=np.int64).reshape(len(uid), -1), t.column("raw").to_pylist()
-        names, n = np.unique(root, return_counts=True)
-        major, up, sets, out = names[n.argmax()], {r: r for r in names.tolist()}, {}, []
+        band, t = key[0].as_py(), t.sort_by("uid")
+        uid, root, size, asks = (t.column(c).to_numpy() for c in ("uid", "root", "size", "asks"))
+        bands, short = np.array(t.column("bands").to_pylist(), dtype=np.int64).reshape(len(uid), -1), np.frombuffer(b"".join(t.column("short").to_pylist()), dtype=np.uint8).reshape(len(uid), -1)
+        raw, major = t.column("raw"), t.column("major")[0].as_py()
+        up, sets, out = {r: r for r in root.tolist()}, {}, []
 
         def top(r: int) -> int:
             while up[r] != r:
@@ -302,18 +311,16 @@ def remaining(bucket: DataFrame, roots: DataFrame, table: DataFrame, plan: Plan)
 
         def of(i: int) -> tuple[np.ndarray, np.ndarray]:
             if i not in sets:
-                sets[i] = unpack(raw[i], int(size[i]))
+                sets[i] = unpack(raw[i].as_py(), int(size[i]))
             return sets[i]
 
-        for i in np.flatnonzero(root != major).tolist():
-            other = np.flatnonzero((root != root[i]) & ((root == major) | (np.arange(len(uid)) > i)))
+        member = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            other = member[(root[member] != root[i]) & ((root[member] == major) | (uid[member] > uid[i]))]
             other = other[np.minimum(size[other], size[i]) >= plan.least * np.maximum(size[other], size[i]) - 1e-9]
-            same = bands[other] == bands[i]
-            good = (same.sum(axis=1) >= AGREE) & (bands[i][same.argmax(axis=1)] == band)
-            if second != band:
-                same[np.arange(len(other)), same.argmax(axis=1)] = False
-                good &= bands[i][same.argmax(axis=1)] == second
-            for k in other[good].tolist():
+            other = other[(short[other] == short[i]).sum(axis=1) >= floor]
+            other = other[bands[i][(bands[other] == bands[i]).argmax(axis=1)] == band]
+            for k in other.tolist():
                 x, y = top(int(root[i])), top(int(root[k]))
                 if x != y and (j := jaccard(of(i), of(k))) >= plan.least - 1e-12:
                     up[y] = x
@@ -321,7 +328,7 @@ def remaining(bucket: DataFrame, roots: DataFrame, table: DataFrame, plan: Plan)
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(c, pa.float64())})
 
-    return small.unionAll(large).groupBy("band", "second").applyInArrow(compare, "a long, b long, similarity double")
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
 
 
 def labelled(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
