@@ -6,12 +6,15 @@ insertions elsewhere.  Chunks are told apart by their 64-bit xxh3 digest.  A chu
 occurrence, by document id and position, stays.  Runs of repeated chunks of ``Plan.least`` bytes or more are
 removed (passages of 50 words contain such a run; chance repeats of a few words don't).
 
+A digest is not verified by bytes: two of n different chunks share one with probability n * n / 4e19, and a chance one of these would have to stand in
+a run of repeated chunks to be removed.
+
 Digests are exchanged in compressed blobs: every part of the documents asks, for its distinct digests, whether
 they occur elsewhere and whether the first occurrence is its own.
 
 Defined results: null and empty texts have no chunk; very long texts are cut whole, evenly where content
 gives no cut; repeated rows: the first keeps its text, others lose it where it is long enough; removed spans
-begin and end at character borders; null ids come last; an empty table gives an empty result; extra columns are ignored.
+begin and end at character borders; null ids come last; ids that are no integers are ordered by the first 8 bytes of their text, then by place; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,17 +112,23 @@ class _Part:
         self.order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i]))
         self.ends = [e for a, b in runs_of(self.texts, 1 << 20) for e in chunk_ends(self.texts[a:b], plan)]
         digest, owner = [], []
-        top = np.iinfo(np.int64).max
         for i in self.order:
             t, at = self.texts[i], 0
             for e in self.ends[i].tolist():
                 digest.append(xxhash.xxh3_64_intdigest(t[at:e]))
                 at = e
-            owner.append(np.full(len(self.ends[i]), top if self.ids[i] is None else int(self.ids[i]), dtype=np.int64))
+            owner.append(np.full(len(self.ends[i]), _owner(self.ids[i]), dtype=np.int64))
         self.keys, self.first, self.at, self.count = np.unique(np.array(digest, dtype=np.uint64), return_index=True, return_inverse=True, return_counts=True)
         self.owner = np.concatenate(owner)[self.first] if owner else np.zeros(0, np.int64)
 
 
+def _owner(doc_id) -> int:
+    """A document's place in the order of ids."""
+    if doc_id is None:
+        return np.iinfo(np.int64).max
+    return doc_id if isinstance(doc_id, int) else int.from_bytes(str(doc_id).encode()[:8].ljust(8, b"\0")) - (1 << 63)
+
+
 def _answers(parts: DataFrame, log: int, plan: Plan) -> DataFrame:
     """(part, bucket, size, blob): for each distinct digest of a part, bit 1 if it is repeated and bit 2 if its first occurrence is here."""
 
@@ -173,8 +182,8 @@ def runs(flag: np.ndarray, ends: np.ndarray, raw: bytes, least: int) -> list[tup
 def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", text: bool = True) -> DataFrame:
     """Per row: id, n_bytes, n_chunks, n_repeated (bytes in repeated runs, first occurrences too), removed array of
     [start, end) byte spans, kept_sha256; with text=True also kept, what stays."""
-    log = bucket_log(input_bytes(docs))
     parts = lay_out(docs, id_col, text_col)
+    log = bucket_log(input_bytes(parts))
     answers = _answers(parts, log, plan)
     kind = docs.schema[id_col].dataType.simpleString()
 
