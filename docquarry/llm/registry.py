@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import byte_bpe, dartminhash, deleted_interpolation, gear_chunks, kmeans_tree, lsh_ensemble, lyndon_dedup, secret_automata, url_templates, zstd_quality
 from docquarry.llm.common import fold, table
+from docquarry.llm.url_templates import LOWER, UPPER, WILD, Tree
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,8 +68,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x80-\x{10FFFF}]+')"
 _RUNS = "list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
 
+
+
+def _url_sql(rules: list[tuple[str, str]], how: Tree = Tree()) -> str:
+    """op5: rules, shapes, literals, merging from the deepest level up (a recursive step a level) and purity."""
+    real = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+    said = lambda text: text.replace("'", "''")
+    fits = [(f"(host = '{said(n.lower())}' OR ends_with(host, '.{said(n.lower())}')) AND starts_with(path, '/{said(prefix)}')", text, verdict)
+            for verdict, text in sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=True) for n, _, prefix in [text.partition("/")]]
+    choose = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{said(f[i])}'" for f in fits) + " END"
+    rate = lambda b, n: f"CAST({b} AS DOUBLE) / greatest({n}, 1)"
+    bound, m = math.sqrt(math.log(2 / how.alpha) / 2), real(how.smoothing)
+    return f"""
+        WITH RECURSIVE raw AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS u FROM pages),
+        rest AS (SELECT r, page_id, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS t FROM raw),
+        cut AS (SELECT r, page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        urls AS MATERIALIZED (SELECT *, {choose(1)} AS rule, {choose(2)} AS said,
+            list_transform(string_split(regexp_replace(path, '^/', ''), '/'), lambda s: CASE WHEN length(s) > 40 OR regexp_matches(s, '(-[^-]*){{3}}') THEN '{{slug}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS shapes FROM cut),
+        seen AS MATERIALIZED (SELECT host, shapes, count(*) AS n, count(*) FILTER (said = 'block') AS blocked, count(said) AS labelled FROM urls GROUP BY ALL),
+        forms AS (SELECT shapes, sum(n) AS n FROM seen GROUP BY ALL),
+        flat AS MATERIALIZED (SELECT shapes, n, unnest(shapes) AS shape, unnest(range(len(shapes))) AS level FROM forms),
+        literal AS MATERIALIZED (SELECT level, shape FROM flat GROUP BY ALL HAVING sum(n) >= {how.support}),
+        general AS (SELECT shapes, list(CASE WHEN literal.shape IS NULL THEN '{WILD}' ELSE flat.shape END ORDER BY flat.level) AS template FROM flat LEFT JOIN literal USING (level, shape) GROUP BY ALL),
+        tree AS MATERIALIZED (SELECT host, shapes, template, blocked, labelled FROM seen JOIN general USING (shapes)),
+        walk AS (
+            SELECT host, template, CAST(sum(blocked) AS BIGINT) AS blocked, CAST(sum(labelled) AS BIGINT) AS labelled, template AS merged, coalesce((SELECT max(level) FROM literal), -1) AS k FROM tree GROUP BY host, template
+            UNION ALL
+            SELECT host, template, blocked, labelled,
+                CASE WHEN own_n > 0 AND abs({rate('own_b', 'own_n')} - {rate('all_b', 'all_n')}) <= {real(bound)} * (1 / sqrt(greatest(own_n, 1)) + 1 / sqrt(greatest(all_n, 1))) THEN parent ELSE merged END, k - 1
+            FROM (SELECT *, sum(blocked) OVER own AS own_b, sum(labelled) OVER own AS own_n, sum(blocked) OVER every AS all_b, sum(labelled) OVER every AS all_n
+                FROM (SELECT *, list_transform(merged, lambda s, i: CASE WHEN i = k + 1 THEN '{WILD}' ELSE s END) AS parent FROM walk WHERE k >= 0)
+                WINDOW own AS (PARTITION BY host, merged), every AS (PARTITION BY host, parent))),
+        branch AS MATERIALIZED (SELECT * FROM walk WHERE k = -1),
+        final AS (SELECT host, merged, sum(blocked) AS blocked, sum(labelled) AS labelled FROM branch GROUP BY ALL),
+        everywhere AS (SELECT template, (sum(blocked) + {real(how.smoothing * how.base)}) / (sum(labelled) + {m}) AS shared FROM branch GROUP BY ALL),
+        judged AS (SELECT b.host, b.template, array_to_string(b.merged, '/') AS branch, (f.blocked + {m} * shared) / (f.labelled + {m}) AS purity
+            FROM branch b JOIN final f ON f.host = b.host AND f.merged = b.merged JOIN everywhere e ON e.template = b.template)
+        SELECT page_id, u.host, path, rule, coalesce(said, CASE WHEN purity >= {real(how.reject)} THEN 'block' ELSE 'allow' END) AS verdict, branch AS template, purity
+        FROM urls u JOIN tree t ON t.host = u.host AND t.shapes = u.shapes JOIN judged j ON j.host = t.host AND j.template = t.template"""
+
+
 #: Exact results of the operators that SQL can express; the operators find candidates by signatures and verify them.
 ORACLES: dict[str, str] = {
+    "op5_url_templates": _url_sql(url_templates.rules_of(RULES)),
     "op3_dartminhash": f"""
         WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
         sets AS MATERIALIZED (SELECT r, doc_id, {_RUNS} AS s FROM (SELECT *, least(5, len(w)) AS k FROM docs WHERE len(w) > 0)),

@@ -1,8 +1,8 @@
 """URL filter: rules first, then a path-template tree whose templates are rejected by labelled purity.
 
-Every path becomes a list of segment shapes (runs of digits, slugs and tails are variable at once).
+Every path becomes a list of segment shapes, one for each segment (runs of digits and slugs are variable at once).
 Per depth, a shape stays literal if ``Tree.support`` pages of all hosts together have it, whatever a host's size; the
-others become the wildcard ``{*}``.  From the deepest level up, a literal branch whose labelled block rate is
+others become the wildcard ``{*}``.  From the deepest level that has literals up, a small job each, a literal branch whose labelled block rate is
 compatible (Hoeffding) with that of all its siblings together is merged into their wildcard; a branch
 without labels gives no ground to merge it and stays.  A template is
 rejected if its block rate, smoothed by the rate of the same template over all hosts, which is smoothed by
@@ -13,8 +13,8 @@ third of all pages is no larger than its distinct shapes.  Literals are joined a
 they meet their siblings, so their number has no bound.  The list of rules becomes one expression and
 should stay in the hundreds.
 
-Defined results: a null url, or one without ``://``, has empty host and path; repeated rows and ids are judged
-each; extra columns are ignored; without any label every template has the base rate, which is below ``reject``; an
+Defined results: a null url, or one without ``://``, has empty host and path; very long urls are judged whole, by all their segments;
+of rules of one length that fit the last in text order holds; repeated rows and ids are judged each; extra columns are ignored; without any label every template has the base rate, which is below ``reject``; an
 empty table gives an empty result.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import write_shared
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WILD, DEPTH = "{*}", 4
+WILD = "{*}"
 
 
 @dataclass(frozen=True)
@@ -59,11 +59,9 @@ def rule_column(rules: list[tuple[str, str]], host: Column, path: Column) -> tup
 
 
 def shapes(path: Column) -> Column:
-    """The first DEPTH segments with their variable parts generalised; deeper ones as one tail."""
+    """The segments with their variable parts generalised."""
     one = lambda s: F.when((F.length(s) > 40) | s.rlike("(-[^-]*){3}"), F.lit("{slug}")).otherwise(F.regexp_replace(s, "[0-9]+", "{n}"))
-    segments = F.split(F.regexp_replace(path, "^/", ""), "/")
-    head = F.transform(F.slice(segments, 1, DEPTH), one)
-    return F.when(F.size(segments) > DEPTH, F.concat(head, F.array(F.lit("{tail}")))).otherwise(head)
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), one)
 
 
 def _wild_at(column: str, k: int) -> Column:
@@ -89,6 +87,7 @@ def templates(urls: DataFrame, how: Tree = Tree()) -> DataFrame:
     literal = forms.groupBy("level", "shape").agg(F.sum("n").alias("all")).where(F.col("all") >= how.support).select("level", "shape", F.lit(True).alias("literal"))
     segment = F.struct("level", F.when(F.col("literal"), F.col("shape")).otherwise(F.lit(WILD)).alias("segment"))
     general = forms.join(literal, ["level", "shape"], "left").groupBy("shapes").agg(F.sort_array(F.collect_list(segment)).alias("s")).select("shapes", F.col("s.segment").alias("template"))
+    deepest = literal.agg(F.max("level")).first()[0]
     tree = write_shared(seen.join(general, "shapes").select("host", "shapes", "template", "n", "blocked", "labelled"), "url-tree")
     # Branches alike: deepest level first
     bound = math.sqrt(math.log(2 / how.alpha) / 2)
@@ -96,7 +95,7 @@ def templates(urls: DataFrame, how: Tree = Tree()) -> DataFrame:
     sums = [F.sum(c).alias(c) for c in ("blocked", "labelled")]
     counts = write_shared(tree.groupBy("host", "template").agg(*sums), "url-branches")
     branch, own = counts.withColumn("merged", F.col("template")), counts.withColumnRenamed("template", "merged")
-    for k in range(DEPTH, -1, -1):
+    for k in range(-1 if deepest is None else deepest, -1, -1):
         own = own.withColumn("parent", _wild_at("merged", k))
         family = own.groupBy("host", "parent").agg(F.sum("blocked").alias("all_b"), F.sum("labelled").alias("all_n"))
         far = bound * (1 / F.sqrt(F.greatest(F.col("labelled"), F.lit(1))) + 1 / F.sqrt(F.greatest(F.col("all_n"), F.lit(1))))
