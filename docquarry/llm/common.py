@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder every executor sees: spark.checkpoint.dir; where it is unset, a local one in local mode, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "docquarry-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -6,13 +6,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docquarry.llm import dartminhash, gear_chunks, kmeans_tree, lsh_ensemble, lyndon_dedup, url_templates
 from docquarry.llm.components import components, extend
-from docquarry.llm.registry import QUERIES, RULES
+from docquarry.llm.registry import ORACLES, QUERIES, RULES
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
@@ -143,6 +144,26 @@ def test_items_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in lsh_ensemble.search(docs, table).collect()} == brute_leaks(docs.collect(), items)
 
 
+def test_no_tiny_item_is_missed_and_long_items_are_quick():
+    """80,000 items of one shingle in one text each; the least of a bin over windows against brute force."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30_000)]
+    items = [" ".join(rng.choice(words) for _ in range(5)) for _ in range(80_000)]
+    w = lsh_ensemble.words_of(pa.array(items))
+    h, d, _ = lsh_ensemble.distinct_by_text(*lsh_ensemble.text_shingles(w))
+    index = lsh_ensemble.Index.of([{"id": int(i), "k": 5, "shingles": [int(x)]} for i, x in zip(d, h.view(np.int64), strict=True)])
+    for at in range(0, len(items), 8000):
+        texts = [f"{prose(rng, 6)} {t} {prose(rng, 6)}" for t in items[at : at + 8000]]
+        text, item, _ = index.search(pa.array(texts), 0.8)
+        assert {(int(a), index.ids[b]) for a, b in zip(text, item, strict=True)} >= {(i, at + i) for i in range(len(texts))}
+    values, doc = np.random.default_rng(1).integers(0, 2**63, 900).astype(np.uint64), np.repeat([0, 1, 2], 300)
+    low = lsh_ensemble._Lowest(values, doc, np.array([0, 2]), np.array([0, 300, 600, 900]))
+    at = np.concatenate([np.arange(300), np.arange(600, 900)])
+    begin, end = np.maximum(at - 40, at // 300 * 300), np.minimum(at + 60, at // 300 * 300 + 300)
+    want = [min(x for x in values[b:e] if x % np.uint64(64) == values[i] % np.uint64(64)) for i, b, e in zip(at, begin, end, strict=True)]
+    assert low(at, begin, end).tolist() == want
+
+
 def brute_covered(texts, k):
     seen = Counter(t[i : i + k] for t in texts for i in range(len(t) - k + 1))
     out = []
@@ -238,6 +259,13 @@ def test_neighbours(spark):
         assert all(s == d[i] for _, s, i in mine)
         hits += len({i for *_, i in mine} & set(true.tolist()))
     assert hits / 300 >= 0.9 and len(got) == 30
+    # A repeated query id with an invalid vector, vectors of other lengths, a cell with more visitors than one group holds
+    more = df.union(spark.createDataFrame([(500, [0.0] * 16, 0), (8000, [1.0, 2.0], 0), (8001, [1.0, 4.0], 0), (8002, [1.0], 0), (8100, [3.0], 0), (8003, [], 0)], df.schema))
+    again = {}
+    for r in kmeans_tree.search(more, F.col("vec_id") % 100 == 0, kmeans_tree.Plan(group=3)).collect():
+        again.setdefault(r.query_id, []).append((r.rank, r.score, r.vec_id))
+    assert {k: sorted(x) for k, x in again.items() if k < 8000} == {k: sorted(x) for k, x in got.items()}
+    assert again[8000] == [(1, 2.0, 8001)] and sorted(again[8100]) == [(1, 2.0, 8002), (2, 2.0, 9005)] and len(again) == 32
     few = df.where("vec_id < 4")
     assert kmeans_tree.search(few, F.col("vec_id") == 0).count() == 3
     assert kmeans_tree.search(df.limit(0), F.col("vec_id") == 0).count() == 0
@@ -308,10 +336,11 @@ def test_clean_documents_stay(spark, sf):
     assert sorted((r.doc_id, r.text) for r in at.collect()) == [(i, t) for i, t, *_ in rows]
 
 
-@pytest.mark.parametrize("whole", [4_000_000, 4])
-def test_chains_of_near_duplicates(spark, monkeypatch, whole):
+@pytest.mark.parametrize("blocks", [(256, 1024), (2, 3)])
+def test_chains_of_near_duplicates(spark, monkeypatch, blocks):
     """Texts that drift away from a base in steps, many of them just at the border: no link between different texts is lost."""
-    monkeypatch.setattr(dartminhash, "WHOLE", whole)
+    monkeypatch.setattr(dartminhash, "OUTSIDE", blocks[0])
+    monkeypatch.setattr(dartminhash, "MEMBERS", blocks[1])
     rng, rows = random.Random(12), []
     for g in range(4):
         words = prose(rng, 90).split()
@@ -322,3 +351,97 @@ def test_chains_of_near_duplicates(spark, monkeypatch, whole):
                 words[rng.randrange(len(words))] = f"more{g}x{i}"
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, dartminhash.classes(df).collect())) == sorted(brute_classes(rows))
+
+
+@pytest.mark.parametrize("weight", ["set", "count"])
+def test_a_large_bucket_of_near_misses(spark, monkeypatch, weight):
+    """Variants of one text, most pairs below 0.8 and some just above it; by sets and by counts."""
+    monkeypatch.setattr(dartminhash, "OUTSIDE", 40)
+    monkeypatch.setattr(dartminhash, "MEMBERS", 60)
+    rng = random.Random(21)
+    base, rows = prose(rng, 160).split(), []
+    for i in range(220):
+        words = list(base) * (1 + (weight == "count"))  # every shingle twice
+        for _ in range(rng.randrange(2, 7) * (1 + (weight == "count"))):
+            words[rng.randrange(len(words))] = f"v{i}x{rng.randrange(10)}"
+        rows.append((i, " ".join(words)))
+    if weight == "set":
+        want = sorted(brute_classes(rows))
+    else:
+        def bag(t):
+            w = WORD.findall(t)
+            return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+        bags, up = [bag(t) for _, t in rows], list(range(len(rows)))
+
+        def top(x):
+            return x if up[x] == x else top(up[x])
+
+        for a in range(len(rows)):
+            for b in range(a):
+                if (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total() - 1e-9:
+                    x, y = sorted((top(a), top(b)))
+                    up[y] = x
+        want = sorted((x, top(x)) for x in up and range(len(rows)))
+    assert 1 < len({c for _, c in want}) < len(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, dartminhash.classes(df, dartminhash.Plan(weight=weight)).collect())) == want
+
+
+def test_urls_equal_sql(spark, sf, tmp_path):
+    """The whole tree in SQL, on the tables and on deep, long and odd urls."""
+    import duckdb
+
+    rng = random.Random(5)
+    seg = lambda: rng.choice(["a", "b", "de", "es", "fr", "p1", "p22", "x-y-z-w", "", "é", "q" * 50])
+    urls = [f"http://{rng.choice(['h.com', 'H2.com', 'sub.example.org', 'x.net'])}/{'/'.join(seg() for _ in range(rng.randrange(0, 12)))}{rng.choice(['', '?a=/b', '#c'])}" for _ in range(900)]
+    urls += ["http://deep.com/de/" + "/".join(f"s{k}x" for k in range(20)) + f"/{i % 3}" for i in range(12)] + [None, "none", "http://", "http://com/de/" + "y/" * 3000]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for folder, files in ((sf, f"{sf}/pages.parquet"), (sf.replace("0.001", "0.01"), f"{sf.replace('0.001', '0.01')}/pages.parquet"), (str(tmp_path), f"{tmp_path}/pages.parquet/*.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{files}')")
+        r = con.execute(ORACLES["op5_url_templates"])
+        names = [c[0] for c in r.description]
+        got = QUERIES["op5_url_templates"](spark, folder)
+        assert sorted(got.columns) == sorted(names)
+        key = lambda x: tuple(str(v) for v in x)
+        assert sorted(map(key, (tuple(x[c] for c in names) for x in got.collect()))) == sorted(map(key, r.fetchall()))
+
+
+def test_chunks_against_plain_counts(spark, odd_docs):
+    """Every chunk's occurrences, the first one's owner, runs and what stays, by plain loops."""
+    plan = gear_chunks.Plan()
+    docs = odd_docs.select("doc_id", "text").where("doc_id is not null and doc_id <> 105")
+    rows = sorted((i, (t or "").encode()) for i, t in docs.collect())
+    ends = [gear_chunks.chunk_ends([t])[0].tolist() for _, t in rows]
+    cut = [[t[a:b] for a, b in zip([0, *e], e)] for (_, t), e in zip(rows, ends, strict=True)]
+    count, seen = Counter(c for x in cut for c in x), set()
+
+    def long_runs(flags, t, e):
+        out, k, begin = [], 0, [0, *e]
+        while k < len(flags):
+            j = k
+            while j < len(flags) and flags[j]:
+                j += 1
+            a, b = begin[k], begin[j]
+            if j > k and b - a >= plan.least:
+                while a < len(t) and t[a] & 0xC0 == 0x80:
+                    a += 1
+                while b < len(t) and t[b] & 0xC0 == 0x80:
+                    b -= 1
+                out.append((a, b))
+            k = max(j, k + 1)
+        return out
+
+    got = {r.doc_id: r for r in gear_chunks.repeats(docs).collect()}
+    for (i, t), x, e in zip(rows, cut, ends, strict=True):
+        later = []
+        for c in x:
+            later.append(c in seen)
+            seen.add(c)
+        spans = long_runs(later, t, e)
+        assert [(s.start, s.end) for s in got[i].removed] == spans
+        assert got[i].n_repeated == sum(b - a for a, b in long_runs([count[c] > 1 for c in x], t, e)) and got[i].n_chunks == len(x)
+        assert got[i].kept.encode() == b"".join(t[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)]))
+    named = docs.selectExpr("concat('d', lpad(doc_id, 5, '0')) AS doc_id", "text")
+    assert {int(r.doc_id[1:]): r.kept_sha256 for r in gear_chunks.repeats(named).collect()} == {i: r.kept_sha256 for i, r in got.items()}

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 
 from docquarry.llm import byte_bpe, deleted_interpolation, secret_automata, zstd_quality
 from docquarry.llm.registry import QUERIES, RANKS
@@ -65,6 +66,38 @@ def test_language_model(odd_docs, no_docs):
     assert deleted_interpolation.score(no_docs).count() == 0
 
 
+def test_language_model_against_plain_counts(spark):
+    """score by definition, sums of a context's probabilities, and weights near those of EM on the unbinned held-out counts."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh" if rng.random() < 0.9 else "xyzuvw") for _ in range(rng.randrange(0, 60)))) for i in range(80)] + [(200, "new q new"), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = deleted_interpolation.learn(df)[2]
+    cut = {i: (t or "").split() + [None] for i, t in rows}
+    one, two = Counter(w for i, ws in cut.items() if fold(i) != 1 for w in ws), Counter(p for i, ws in cut.items() if fold(i) != 1 for p in zip([None, *ws], ws))
+    n, v = sum(one.values()), len(one)
+    assert (model.every, model.distinct) == (n, v) and np.allclose(model.weights.sum(axis=1), 1) and model.weights[0, 2] == 0
+
+    def p(h, w):
+        lam = model.weights[math.frexp(one[h])[1]]
+        return lam[0] / (v + 1) + lam[1] * one[w] / n + (lam[2] * two[h, w] / one[h] if one[h] else 0)
+
+    got = {r.doc_id: r.score for r in deleted_interpolation.score(df).collect()}
+    assert all(abs(got[i] - sum(math.log10(p(h, w)) for h, w in zip([None, *ws], ws))) < 1e-9 for i, ws in cut.items())
+    assert all(abs(sum(p(h, w) for w in [*one, "unknown"]) - 1) < 1e-12 for h in [*one, "never seen"])
+    main1, main2 = Counter(w for i, ws in cut.items() if fold(i) not in (1, 2) for w in ws), Counter(q for i, ws in cut.items() if fold(i) not in (1, 2) for q in zip([None, *ws], ws))
+    held = Counter(q for i, ws in cut.items() if fold(i) == 2 for q in zip([None, *ws], ws))
+    bucket = np.array([math.frexp(main1[h])[1] for h, _ in held])
+    like = np.array([[1, main1[w] / sum(main1.values()) * (v + 1), main2[h, w] / max(main1[h], 1) * (v + 1)] for h, w in held])
+    want = deleted_interpolation.expectation_maximisation(bucket, like, np.array(list(held.values()), dtype=float))
+    assert np.abs(want - model.weights)[np.unique(bucket)].max() < 0.1
+
+
+def test_totals_beyond_32_bits():
+    assert deleted_interpolation.added(np.array([0, 1, 0]), [np.array([4_000_000_000, 1], np.uint32), np.array([4_000_000_000], np.uint32)], 2).tolist() == [8_000_000_000, 1]
+    raw = deleted_interpolation.pack(np.array([8_000_000_000], np.uint64))
+    assert deleted_interpolation.unpack(raw, 1, np.uint64)[0].tolist() == [8_000_000_000]
+
+
 def test_language_model_beats_the_base_on_held_out_text(spark, sf):
     got = [r for r in QUERIES["op2_deleted_interpolation"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
@@ -91,9 +124,26 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
         assert zstd_quality.score(odd_docs, model).count() == odd_docs.count() and zstd_quality.score(no_docs, model).count() == 0
         assert zstd_quality.keep(odd_docs, model, 0.0).count() == odd_docs.count() and zstd_quality.keep(odd_docs, model).columns == odd_docs.columns
     rng = random.Random(1)
-    train = [(i, prose(rng, 200) if i % 2 else " | ".join(prose(rng, 100).split()), i % 2) for i in range(300)]
-    score = zstd_quality.fit([(i * 7919, t, q) for i, t, q in train]).scorer()
+    rows = [(i, prose(rng, 200) if i % 2 else " | ".join(prose(rng, 100).split())) for i in range(400)] + [(900, "word " * 60_000), (901, None)]
+    marks = [(i, i % 2, "x") for i in range(400)] + [(900, 1, "x"), (900, 1, "x"), (901, 0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = zstd_quality.train(docs, labels(marks))
+    score = model.scorer()
     assert score(prose(rng, 150)) > 0.8 > 0.2 > score(" | ".join(prose(rng, 150).split()))
+    # score() against the definition: sizes of 4,096-byte blocks, normalised and calibrated
+    sizes = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in (zstandard.ZstdCompressionDict(model.good), zstandard.ZstdCompressionDict(model.bad))]
+    plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def by_hand(text):
+        parts = [text.encode()[k : k + 4096] for k in range(0, len(text.encode()), 4096)]
+        g, b = (sum(len(c.compress(p)) for p in parts) for c in sizes)
+        return 1 / (1 + math.exp(-(model.intercept + model.slope * (b - g) / max(1, sum(len(plain.compress(p)) for p in parts)))))
+
+    got = {r.doc_id: r.score for r in zstd_quality.score(docs, model).collect()}
+    assert all(abs(got[i] - by_hand(t or "")) < 1e-12 for i, t in rows)
+    assert zstd_quality.train(docs, labels(marks)) == model  # the same wherever rows stand
+    few = zstd_quality.train(docs, labels(marks), zstd_quality.Training(most_blocks=20))
+    assert few.good != model.good
 
 
 BASE = {"assign": (secret_automata.ASSIGN, 2, 6), "access": (secret_automata.ACCESS, 0, 20), "hex": (secret_automata.HEX, 0, 24)}
@@ -142,6 +192,23 @@ def test_many_unlabelled_credentials_are_all_found(spark, hidden):
     assert found >= 0.98 * hidden and all("auto" not in v for i, v in got.items() if i < 1000)
 
 
+def test_values_are_learnt_whole_and_runs_are_searched_beside_spans(spark):
+    rng = random.Random(7)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    tail = lambda: "".join(rng.choice("GHJKLMNPQRSTVWXYZ") for _ in range(120))
+    rows = [(i, f"{prose(rng, 5)} token = {key(100)}{tail()} {prose(rng, 4)}") for i in range(24)]  # the format changes after 100 characters
+    rows += [(100, f"token = {'ab' * 3_000_000} {prose(rng, 3)}"), (102, f"z {'q' * 60} {key(24)}KKKKKKKKKKKKKKKKKKKKKKKKKKKK")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    base = secret_automata.find_base(df)
+    found = base.where("id = 102").first()
+    assert [(s.kind, s.value) for s in found.spans] == [("hex", rows[-1][1].split()[-1][:24])] and [r.value for r in found.runs] == ["q" * 60, "K" * 28]
+    detector = secret_automata.learn(base, secret_automata.Training())
+    assert detector.formats["assign"].fit(key(100) + tail()) > -3.3  # much less if the tails were not learnt
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_automata.scan(df).collect()}
+    assert got[100] == [("assign", 0, 6_000_008), ("hex", 8, 6_000_008)]
+    assert set(secret_automata.learn(base, secret_automata.Training(characters=1500)).formats) == {"hex"}  # five whole values of the others are too few
+
+
 def test_state_merging_generalises():
     rng = random.Random(4)
     a = secret_automata.infer(["".join(rng.choice("01ab") for _ in range(30)) for _ in range(400)], 0.05)
