@@ -177,12 +177,16 @@ def _digest(h: np.ndarray, n: np.ndarray, d: np.ndarray, docs: int) -> np.ndarra
     return mix64(key).view(np.int64)
 
 
+#: Texts that are thrown at a time: a short one takes as many darts as a long one.
+TEXTS = 256
+
+
 def sketch(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, uid, digest of the weighted set, size (distinct shingles), bands, a byte a coordinate, packed set.  Written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in pieces(whole, "text", 1 << 19):  # a short text takes as many darts as a long one
+            for b in (p.slice(i, TEXTS) for p in pieces(whole, "text", 1 << 19) for i in range(0, p.num_rows, TEXTS)):
                 w = words_of(b.column("text"))
                 h, d, n = distinct_by_text(*text_shingles(w))
                 if plan.weight == "set":
