@@ -150,25 +150,26 @@ def _stored(texts: list[bytes], plan: Plan) -> dict[str, pa.Array]:
     one = lambda x, kind: pa.array([x], kind)
     return {
         "n_pairs": one(int(new.sum()), pa.int32()), "n_segments": one(len(order), pa.int32()),
-        "pairs": one(pack_sorted(k[new], d[new], more.astype(np.uint8)), pa.binary()),
-        "segments": one(pack(text[back].astype(np.uint32), first[back].astype(np.uint64), windows[back].astype(np.uint32), pair[back]), pa.binary())}
+        "keys": one(pack_sorted(k[new], more.astype(np.uint8)), pa.binary()), "digests": one(pack(d[new]), pa.binary()),
+        "segments": one(pack(text[back].astype(np.uint32), first[back].astype(np.uint64), (windows[back] * 2 + (key[back] & np.uint64(1)).astype(np.int64)).astype(np.uint32), pair[back]), pa.binary())}
 
 
-_STORED = "n_pairs int, n_segments int, pairs binary, segments binary"
+_STORED = "n_pairs int, n_segments int, keys binary, digests binary, segments binary"
 
 
 class Part:
-    """An opened part: texts; for each segment, by text and place, its first window, windows and pair; the pairs' keys."""
+    """An opened part: texts; for each segment, by text and place, its first window, windows and pair; which length a pair is of."""
 
     def __init__(self, row: dict, plan: Plan):
         self.texts, self.plan = open_part(row["raw"], row["lengths"]), plan
         self.text, self.first, self.windows, self.pair = (x.astype(np.int64) for x in unpack(row["segments"], row["n_segments"], np.uint32, np.uint64, np.uint32, np.uint32))
-        self.keys = unpack_sorted(row["pairs"], row["n_pairs"], np.uint64, np.uint8)[0]
-        self.example = np.zeros(len(self.keys), dtype=np.int64)
+        self.which, self.example = (np.zeros(row["n_pairs"], dtype=np.int64) for _ in range(2))
+        self.which[self.pair] = self.windows & 1
+        self.windows >>= 1
         self.example[self.pair[::-1]] = np.arange(len(self.pair))[::-1]
 
     def length(self, pair: int) -> int:
-        return self.plan.lengths[int(self.keys[pair] & np.uint64(1))]
+        return self.plan.lengths[self.which[pair]]
 
     def content(self, pair: int) -> bytes:
         i = self.example[pair]
@@ -187,7 +188,7 @@ def _counted(parts: DataFrame, log: int, plan: Plan) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                keys, digests, more = unpack_sorted(row["pairs"], row["n_pairs"], np.uint64, np.uint8)
+                (keys, more), digests = unpack_sorted(row["keys"], row["n_pairs"], np.uint8), unpack(row["digests"], row["n_pairs"], np.uint64)[0]
                 at = cuts(keys, 64, log)
                 own = np.flatnonzero(np.diff(at))
                 yield pa.RecordBatch.from_pydict({
@@ -224,7 +225,7 @@ def _counted(parts: DataFrame, log: int, plan: Plan) -> DataFrame:
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "size": pa.array([r[1] for r in rows], pa.int32()),
                          "blob": pa.array(blobs, pa.binary()), "gathered": pa.array(owners(0), pa.int64()), "hot": pa.array(owners(HOT), pa.int64())})
 
-    asked = parts.select("part", "n_pairs", "pairs").where("n_pairs > 0").mapInArrow(ask, "bucket int, part long, size int, blob binary").repartition(1 << (log - 1), "bucket")
+    asked = parts.select("part", "n_pairs", "keys", "digests").where("n_pairs > 0").mapInArrow(ask, "bucket int, part long, size int, blob binary").repartition(1 << (log - 1), "bucket")
     return asked.groupBy("bucket").applyInArrow(add, "part long, bucket int, size int, blob binary, gathered long, hot long")
 
 
@@ -260,9 +261,9 @@ def _leaving(parts: DataFrame, counted: DataFrame, tasks: int, log: int, plan: P
         cores = {c: [] for c in ("key", "pair", "weight", "a", "body")}
         if len(want):
             row = left.to_pylist()[0]
-            p = Part(row, plan)
+            p, keys = Part(row, plan), unpack_sorted(row["keys"], row["n_pairs"], np.uint8)[0]
             hot = (flags[want] & HOT) > 0
-            bucket = _bucket(p.keys[want], log)
+            bucket = _bucket(keys[want], log)
             for b in np.unique(bucket[~hot]):
                 own = want[~hot & (bucket == b)]
                 texts = [p.content(i) for i in own]
@@ -270,7 +271,7 @@ def _leaving(parts: DataFrame, counted: DataFrame, tasks: int, log: int, plan: P
                     pieces[c].append(x)
             for i in want[hot]:
                 body = p.content(i)
-                for c, x in zip(cores, (int(p.keys[i].view(np.int64)), i, 2 if flags[i] & REPEATED else 1, core_of(body, p.length(i), plan), body), strict=True):
+                for c, x in zip(cores, (int(keys[i].view(np.int64)), i, 2 if flags[i] & REPEATED else 1, core_of(body, p.length(i), plan), body), strict=True):
                     cores[c].append(x)
         n, m = len(pieces["part"]), len(cores["key"])
         numbers, part = pa.list_(pa.int32()), left.column("part")[0].as_py()
@@ -283,7 +284,7 @@ def _leaving(parts: DataFrame, counted: DataFrame, tasks: int, log: int, plan: P
             "body": pa.array(none(n) + cores["body"], pa.binary())})
 
     schema = f"{_PIECES}, {', '.join(c for c in _CORES.split(', ') if not c.startswith('part '))}"
-    left = parts.select("part", "lengths", "raw", "n_pairs", "n_segments", "pairs", "segments").where("n_pairs > 0").repartition(tasks, "part")
+    left = parts.select("part", "lengths", "raw", "n_pairs", "n_segments", "keys", "segments").where("n_pairs > 0").repartition(tasks, "part")
     return write_shared(left.groupBy("part").cogroup(counted.select("part", "bucket", "size", "blob").repartition(tasks, "part").groupBy("part")).applyInArrow(send, schema), "differing")
 
 
@@ -394,7 +395,7 @@ def deduplicate(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, n_passage; with spans=True also removed, array of [start, end) bytes."""
     parts = lay_out(docs, id_col, text_col, 8 << 20, lambda texts: _stored(texts, plan), _STORED)
     log = bucket_log(input_bytes(parts))
-    tasks = tasks_for(parts.count(), 4)
+    tasks = tasks_for(parts.count(), 2)
     counted = write_shared(_counted(parts, log, plan), "counted")
     gathered, hot = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("gathered", "hot"))).first()
     told = _told_apart(parts, counted, tasks, gathered, hot, plan)
@@ -408,10 +409,9 @@ def deduplicate(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
         for r in right.filter(pc.not_equal(right.column("pair"), -1)).select(["pair", "shift", "size", "blob"]).to_pylist():
             starts.setdefault(r["pair"], []).append(r["shift"] + np.flatnonzero(np.unpackbits(np.frombuffer(r["blob"], dtype=np.uint8), count=r["size"])))
         edge = np.searchsorted(p.text, np.arange(len(p.texts) + 1))
-        told = np.zeros(len(p.keys), dtype=bool)
+        told = np.zeros(len(p.which), dtype=bool)
         told[list(starts)] = True
         whole = (flags & REPEATED) > 0 if len(flags) else told
-        which = (p.keys & np.uint64(1)).astype(np.int64)
         n_spans, removed, sha, cut, passage = [], [], [], [], []
         for i, t in enumerate(p.texts):
             own = np.arange(edge[i], edge[i + 1])
@@ -419,7 +419,7 @@ def deduplicate(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
             borders = []
             for k, length in enumerate(plan.lengths):
                 change = np.zeros(len(t) + 1, dtype=np.int64) if len(own) else None
-                mine = own[which[p.pair[own]] == k]
+                mine = own[p.which[p.pair[own]] == k]
                 every = mine[whole[p.pair[mine]]]
                 np.add.at(change, p.first[every], 1) if len(own) else None
                 np.add.at(change, p.first[every] + p.windows[every] - 1 + length, -1) if len(own) else None
@@ -443,4 +443,4 @@ def deduplicate(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
         return pa.table(out | ({"removed": pa.array(cut, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))} if spans else {}))
 
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage long" + ", removed array<struct<start:long,end:long>>" * spans
-    return parts.repartition(tasks, "part").groupBy("part").cogroup(answers.repartition(tasks, "part").groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    return parts.drop("keys", "digests").repartition(tasks, "part").groupBy("part").cogroup(answers.repartition(tasks, "part").groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
