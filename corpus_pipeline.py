@@ -5,6 +5,17 @@ near_dedup   one document of each near-duplicate class stays
 decontaminate  documents that contain a benchmark item to 0.8 go
 secrets      spans that are credentials are replaced by [SECRET]; n_chars follows the text
 bpe          token count and digests of the ids and of the decoded bytes
+
+Defined results, by stage (quality, near_dedup, decontaminate, secrets, bpe):
+
+* a null or empty text: scored as a difference of zero, kept; stays, each on its own; contains no item, stays; stays as it is; no tokens
+* very long texts: taken whole by every stage
+* ties and repeated rows: scored alike; one row stays for each class, of equal ids the first; judged each; replaced each; encoded each
+* null ids: all stages keep such rows; near_dedup keeps one row of each class whose ids are all null
+* an empty table: gives an empty table, of the columns of documents but for bpe
+* extra columns, also with names that a stage uses itself (score, id, part, spans): kept by all but bpe, which returns its own
+* without labels (or with labels of one kind) every text scores the smoothed share of good labels; without items all rows stay; without
+  base matches to learn from only base spans are replaced
 """
 
 from __future__ import annotations
