@@ -1,6 +1,7 @@
 """Regular expressions of linear-time syntax, rewritten for java.util.regex.
 
-Constructs that need backtracking are invalid, as they are in linear-time engines; ``$`` without
+Constructs that need backtracking are invalid, as they are in linear-time engines, though Java's matcher, which takes the rest, has no
+such bound on its time; ``$`` without
 the m flag is the end of the text, a dot leaves out line feeds only, and the i flag folds Unicode.
 """
 
@@ -79,3 +80,9 @@ def compiled(spark: SparkSession, pattern: str) -> str | None:
     except Exception:  # noqa: BLE001  PatternSyntaxException through the gateway
         return None
     return java
+
+
+def found(spark: SparkSession, pattern: str, text: str) -> bool:
+    """Whether the pattern occurs in one text; an invalid one doesn't."""
+    java = compiled(spark, pattern)
+    return java is not None and spark.sparkContext._jvm.java.util.regex.Pattern.compile(java).matcher(text).find()

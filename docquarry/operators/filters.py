@@ -13,12 +13,12 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any, Union
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.errors import InvalidArgument
 from docquarry.functions import regexes
-from docquarry.functions.scalars import is_number, literal, text
+from docquarry.functions.scalars import compare, equal, is_number, literal, text
 from docquarry.functions.values import Fields, Value
 
 OPS = ("eq", "neq", "gt", "gte", "lt", "lte", "contains", "regex")
@@ -113,6 +113,22 @@ def condition(df: DataFrame, what: Any, data: str | None = None) -> Column:
     return build(parse(what))
 
 
+def matches(f: Filter, data: dict | None, spark: SparkSession) -> bool:
+    """The filter over one record in plain Python; without data, as in deletes, only the empty one passes."""
+    if isinstance(f, (And, Or)):
+        return (all if isinstance(f, And) else any)(matches(x, data, spark) for x in f.parts)
+    if isinstance(f, MatchAll):
+        return True
+    if data is None or f.field not in data:
+        return False
+    v = data[f.field]
+    if f.op == "contains":
+        return text(f.value) in text(v)
+    if f.op == "regex":
+        return regexes.found(spark, text(f.value), text(v))
+    return f.op in _ORDER and (equal(v, f.value) == (f.op == "eq") if f.op in ("eq", "neq") else _ORDER[f.op](compare(v, f.value), 0))
+
+
 def leaf(df: DataFrame, v: Value, op: str, want: Any) -> Column:
     """One predicate.  Its test is null only where the field is missing, where ``present`` makes it false."""
     if op == "contains":

@@ -122,13 +122,16 @@ def find(
     df: DataFrame, filter: Any = None, order_by: Any = None, limit: int = 0, offset: int = 0, page_token: str | None = None,
     fields: Sequence[str] | None = None, data: str | None = None, id_col: str | None = "id", observe: Observation | None = None,
 ) -> DataFrame:
-    """Rows that pass the filter; ordered if an order, a limit, an offset or a token is given."""
+    """Rows that pass the filter; ordered if an order, an offset or a token is given.
+
+    A limit alone takes any rows that pass and stops the scan when it has them.
+    """
     if limit < 0 or offset < 0:
         raise InvalidArgument("limit and offset must not be negative")
     if observe is not None:
         df = df.observe(observe, F.count(F.lit(1)).alias("scanned"))
     out = where(df, filter, data)
-    if order_by or limit or offset or page_token:
+    if order_by or offset or page_token:
         exprs, orders = ordered(df, order_by, data, id_col)
         if page_token:
             values, row_id = decode_token(page_token, len(exprs) - 1)

@@ -9,23 +9,57 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
+from collections import deque
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.errors import AlreadyExists, Conflict, DuplicateKey, InvalidArgument, KeyNotFound, NotFound, QuotaExceeded, ReadOnly, ReservedField, UniqueViolation
+from docquarry.errors import AlreadyExists, Conflict, DuplicateKey, InvalidArgument, KeyNotFound, NotFound, QuotaExceeded, ReadOnly, RecordTooLarge, ReservedField, UniqueViolation
 from docquarry.functions.scalars import text
 from docquarry.functions.values import Fields
 from docquarry.operators import aggregate as aggregation
 from docquarry.operators import filters, scan
 from docquarry.plans import crypto
+from docquarry.plans.index import INDEXED_OPS, FieldIndex
 from docquarry.plans.log import live, live_split, now_nanos, records
 from docquarry.plans.storage import Storage, Version
 from docquarry.sources import ndjson
 
 RETRIES = 8
+#: Candidates of an index up to which their ids are part of the plan.
+FEW_IDS = 1000
+
+
+#: What a log operation is called in the change feed.
+EVENTS = {"insert": "INSERTED", "update": "UPDATED", "delete": "DELETED"}
+
+
+@dataclass
+class Subscription:
+    """A bounded queue for in-process listeners: what doesn't fit is dropped, and one OVERFLOW stands for it."""
+
+    size: int = 64
+    filter: filters.Filter = filters.MatchAll()
+    queue: deque = field(default_factory=deque)
+    lost: bool = False
+
+    def offer(self, event: Any) -> None:
+        if len(self.queue) >= self.size:
+            self.lost = True
+            return
+        if self.lost:
+            self.queue.append({"op": "OVERFLOW"})
+            self.lost = False
+            if len(self.queue) >= self.size:
+                self.lost = True
+                return
+        self.queue.append(event)
+
+    def take(self) -> Any:
+        return self.queue.popleft() if self.queue else None
 
 
 class Collection:
@@ -36,15 +70,27 @@ class Collection:
         self._next_id = 0
         self.on_scan: Callable[[dict], None] | None = None
         self.on_compaction: Callable[[dict], None] | None = None
+        self._subscribers: list[Subscription] = []
 
     # meta
 
-    def meta(self) -> dict:
-        at = f"{self.storage.path}/meta.json"
-        return json.loads(self.storage.files.read(at)) if self.storage.files.exists(at) else {}
-
-    def set_meta(self, **changes: Any) -> None:
-        self.storage.files.create(f"{self.storage.path}/meta.json", json.dumps(self.meta() | changes), overwrite=True)
+    def meta(self, number: int | None = None) -> dict:
+        """Settings: those of the last ``_meta/<n>.json``, before there is one those of creation."""
+        files, path = self.storage.files, self.storage.path
+        if number is None:
+            number = max([int(n[:-5]) for n in files.names(f"{path}/_meta") if n.endswith(".json")], default=0)
+        at = f"{path}/_meta/{number:020d}.json" if number else f"{path}/meta.json"
+        return json.loads(files.read(at)) if files.exists(at) else {}
+
+    def set_meta(self, change: Callable[[dict], dict] | None = None, **changes: Any) -> None:
+        """Stores settings, as given or as ``change`` makes them of the present ones; tried again if another writer was first."""
+        files, folder = self.storage.files, f"{self.storage.path}/_meta"
+        for _ in range(RETRIES):
+            number = max([int(n[:-5]) for n in files.names(folder) if n.endswith(".json")], default=0)
+            now = self.meta(number)
+            if files.create(f"{folder}/{number + 1:020d}.json", json.dumps(now | changes | (change(now) if change else {}))):
+                return
+        raise Conflict("settings: other writers were first")
 
     def encrypt(self, policy: crypto.Policy) -> None:
         """Sets the policy; a key that doesn't fit what is stored is refused."""
@@ -56,28 +102,45 @@ class Collection:
         self.policy = policy
 
     def ensure_index(self, field: str, unique: bool = False) -> None:
-        """Records the index; an existing one stays as it is.  Scans need none: predicates reach the files."""
-        indexes = self.meta().get("indexes", {})
-        if field not in indexes:
+        """Records the index and builds it; an existing one stays as it is."""
+        if field not in self.meta().get("indexes", {}):
             if self.policy:
                 self.policy.check_open({field})
-            self.set_meta(indexes=indexes | {field: unique})
+            self.set_meta(lambda m: {"indexes": {field: unique} | m.get("indexes", {})})
+        if not unique:
+            self.index(field).refresh(self.storage.version())
 
     def ensure_unique_index(self, field: str) -> None:
         """Enforced from now on; duplicates that are there stay."""
         self.ensure_index(field, unique=True)
 
     def drop_index(self, field: str) -> None:
-        indexes = self.meta().get("indexes", {})
-        if field not in indexes:
+        if field not in self.meta().get("indexes", {}):
             raise NotFound(f"no index on {field}")
-        self.set_meta(indexes={k: v for k, v in indexes.items() if k != field})
+        self.set_meta(lambda m: {"indexes": {k: v for k, v in m["indexes"].items() if k != field}})
+        self.index(field).drop()
 
     def list_indexes(self) -> list[str]:
         return sorted(self.meta().get("indexes", {}))
 
-    def index_lookup(self, field: str, value: Any) -> list[int]:
-        return [r["id"] for r in self.find({"field": field, "op": "eq", "value": value}).select("id").orderBy("id").collect()]
+    def index(self, field: str) -> FieldIndex:
+        return FieldIndex(self.storage, field)
+
+    def index_lookup(self, field: str, value: Any, op: str = "eq") -> DataFrame:
+        """(id) of live records whose field compares so with the value, by the index: candidates, looked at again in the live view."""
+        if field not in self.meta().get("indexes", {}):
+            raise NotFound(f"no index on {field}")
+        return self._indexed(filters.Field(field, op, filters.literal(value))).select("id")
+
+    def _indexed(self, leaf: filters.Field) -> DataFrame:
+        """Live records that pass a leaf on an indexed field.  Few candidates go to the scans as ids, which skip row groups; many are joined."""
+        self._guard(None, None, leaf.field)
+        v = self.storage.version()
+        ids = self.index(leaf.field).candidates(v, leaf)
+        few = [r["id"] for r in ids.limit(FEW_IDS + 1).collect()]
+        now = self._live(v)
+        near = now.where(F.col("id").isin(few)) if len(few) <= FEW_IDS else now.join(ids, "id", "left_semi")
+        return filters.where(near, leaf, "data")
 
     # reads
 
@@ -105,7 +168,9 @@ class Collection:
     def find(self, filter: Any = None, order_by: Any = None, limit: int = 0, offset: int = 0, page_token: str | None = None, fields: Sequence[str] | None = None, version: int | None = None) -> DataFrame:
         self._guard(filter, order_by)
         began = time.time()
-        out = scan.find(self.live(version), filter, order_by, limit, offset, page_token, data="data")
+        leaf = None if isinstance(filter, Column) else filters.parse(filter)
+        by_index = version is None and isinstance(leaf, filters.Field) and leaf.op in INDEXED_OPS and leaf.field in self.meta().get("indexes", {})
+        out = scan.find(self._indexed(leaf) if by_index else self.live(version), None if by_index else filter, order_by, limit, offset, page_token, data="data")
         if self.on_scan:
             self.on_scan({"collection": self.name, "filter": "*" if isinstance(filter, Column) else filters.shape(filters.parse(filter)), "seconds": time.time() - began})
         return scan.project(self._open(out), fields, "data")
@@ -193,12 +258,32 @@ class Collection:
         df = df.select("id", "op", "ts", "rev", F.parse_json("j").alias("data"), "epoch", "expires_at", "seq")
         return crypto.seal_rows(df, self.policy, self.name) if self.policy else df
 
+    def _writable(self) -> Version:
+        """The version to write on; a follower's collection takes no writes of its own, upkeep included."""
+        v = self.storage.version()
+        if self._read_only() or v.replica:
+            raise ReadOnly(f"{self.name} takes no writes here")
+        return v
+
+    def subscribe(self, filter: Any = None, size: int = 64) -> "Subscription":
+        """A bounded queue that this object's committed writes feed; see streaming.feed for other processes' writes."""
+        s = Subscription(size, filters.parse(filter))
+        self._subscribers.append(s)
+        return s
+
+    def unsubscribe(self, s: "Subscription") -> None:
+        self._subscribers.remove(s)
+
+    def _tell(self, rows: list[dict], seq: int) -> None:
+        for s in self._subscribers:
+            for i, r in enumerate(rows):
+                if filters.matches(s.filter, r.get("data"), self.spark):
+                    s.offer({"op": EVENTS[r["op"]], "id": r["id"], "data": r.get("data"), "seq": seq + i})
+
     def _write(self, prepare: Callable[[Version, DataFrame], list[dict]], note: str) -> list[dict]:
         """Prepares log rows against the live view and commits them, again if another writer was first."""
-        if self._read_only():
-            raise ReadOnly(f"{self.name} takes no writes here")
         for _ in range(RETRIES):
-            base = self.storage.version()
+            base = self._writable()
             rows = prepare(base, self._live(base))
             if not rows:
                 return rows
@@ -209,6 +294,7 @@ class Collection:
             try:
                 changing = [*base.changing, name] if any(r["op"] != "insert" for r in rows) else base.changing
                 self.storage.commit(base, [*base.sets, name], next_id, base.next_seq + len(rows), base.log_rows + len(rows), note, changing)
+                self._tell(rows, base.next_seq)
                 return rows
             except Conflict:
                 self.storage.discard(name)
@@ -231,7 +317,10 @@ class Collection:
                     raise error(f"{f} is taken")
 
     def _quota(self, rows: list[dict], base: Version) -> None:
-        m, new = self.meta(), sum(r["op"] == "insert" for r in rows)
+        self._room(sum(r["op"] == "insert" for r in rows), base)
+
+    def _room(self, new: int, base: Version) -> None:
+        m = self.meta()
         if new and m.get("max_records") and self._live(base).count() + new > m["max_records"]:
             raise QuotaExceeded(f"{self.name} holds at most {m['max_records']} records")
         if new and m.get("max_bytes") and self.storage.size(base) >= m["max_bytes"]:
@@ -330,46 +419,81 @@ class Collection:
     # bulk
 
     def insert_rows(self, rows: DataFrame, ttl_seconds: float | None = None) -> int:
-        """Appends a DataFrame (data variant, key string or null) of any size in one commit; how many rows.
+        """Appends a DataFrame (data variant, key string or null) of any size in one commit, or nothing; how many rows.
 
-        Ids follow the order of (partition, row).  Keys must be new and distinct.
+        All that holds for single inserts holds here: reserved names, the largest record, unique keys and fields, quotas.  Ids
+        follow the order of (partition, row).
         """
-        if self._read_only():
-            raise ReadOnly(f"{self.name} takes no writes here")
-        keyed = rows.where("key is not null").select("key")
-        if not keyed.groupBy("key").count().where("count > 1").limit(1).isEmpty():
-            raise DuplicateKey("a key is repeated in the batch")
-        base = self.storage.version()
-        if not keyed.join(self._live(base).select("key"), "key", "left_semi").limit(1).isEmpty():
-            raise DuplicateKey("a key is taken")
-        part = rows.withColumn("data", F.when(F.col("key").isNull(), F.col("data")).otherwise(_with_key("data", "key")))
-        # Written once, so that counting and numbering see the same rows whatever made them
-        staged = self.storage.write(part.select("data", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m")), folder="staged")
-        sized = self.spark.read.schema("data variant, p int, m long").parquet(f"{self.storage.path}/{staged}")
-        sizes = {r["p"]: r["count"] for r in sized.groupBy("p").count().collect()}  # a row a partition
-        first, starts, total = self.reserve(sum(sizes.values())), {}, 0
-        for p in sorted(sizes):
-            starts[p], total = total, total + sizes[p]
-        m = self.meta()
-        if m.get("max_records") and total and self._live(base).count() + total > m["max_records"]:
-            self.storage.discard(staged)
-            raise QuotaExceeded(f"{self.name} holds at most {m['max_records']} records")
-        if not total:
-            self.storage.discard(staged)
-            return 0
-        start = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("p"))
-        nth = start + F.col("m").bitwiseAND((1 << 33) - 1)
-        df = sized.select(
-            (nth + first).cast("long").alias("id"), F.lit("insert").alias("op"), F.lit(dt.datetime.fromtimestamp(self.clock() / 1e9)).alias("ts"), F.lit(1).cast("long").alias("rev"), "data",
-            F.lit(self.policy.epoch if self.policy else 0).cast("long").alias("epoch"), F.lit(self._deadline(ttl_seconds, None)).cast("long").alias("expires_at"), (nth + base.next_seq).cast("long").alias("seq"))
-        name = self.storage.write(crypto.seal_rows(df, self.policy, self.name) if self.policy else df)
-        self.storage.discard(staged)
+        self._writable()
+        # Written once, so that checking, counting and numbering see the same rows whatever made them
+        part = rows.select("data", "key", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+        staged = self.storage.write(part, folder="staged")
         try:
-            self.storage.commit(base, [*base.sets, name], first + total, base.next_seq + total, base.log_rows + total, "insert rows")
-        except Conflict:
-            self.storage.discard(name)
-            raise
-        return total
+            given = self.spark.read.schema("data variant, key string, p int, m long").parquet(self.storage.at(staged))
+            self._check_rows(given)
+            given = given.withColumn("data", F.when(F.col("key").isNull(), F.col("data")).otherwise(_with_key("data", "key")))
+            sizes = given.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+            total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            if not total:
+                return 0
+            # A row a partition; joined, as there may be very many
+            starts = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("start"))
+            numbered = given.join(F.broadcast(starts), "p").withColumn("nth", F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1))
+            deadline = F.lit(self._deadline(ttl_seconds, None)).cast("long")
+            for _ in range(RETRIES):
+                base = self._writable()
+                self._check_against(given, total, base)
+                first = self.reserve(total)
+                df = numbered.select(
+                    (F.col("nth") + first).cast("long").alias("id"), F.lit("insert").alias("op"), F.lit(dt.datetime.fromtimestamp(self.clock() / 1e9)).alias("ts"), F.lit(1).cast("long").alias("rev"), "data",
+                    F.lit(self.policy.epoch if self.policy else 0).cast("long").alias("epoch"), deadline.alias("expires_at"), (F.col("nth") + base.next_seq).cast("long").alias("seq"))
+                name = self.storage.write(crypto.seal_rows(df, self.policy, self.name) if self.policy else df)
+                try:
+                    self.storage.commit(base, [*base.sets, name], first + total, base.next_seq + total, base.log_rows + total, "insert rows")
+                    return total
+                except Conflict:
+                    self.storage.discard(name)
+            raise Conflict(f"insert rows: other writers were first {RETRIES} times")
+        finally:
+            self.storage.discard(staged)
+
+    def _check_rows(self, given: DataFrame) -> None:
+        """What holds for each row alone: one pass, the first reason found is raised."""
+        own = F.try_variant_get("data", scan.path(scan.KEY), "variant")
+        why = F.when(~F.startswith(F.schema_of_variant("data"), F.lit("OBJECT")) | F.col("data").isNull(), "data must be an object")
+        why = why.when(own.isNotNull() & ~F.coalesce((F.schema_of_variant(own) == "STRING") & (F.try_variant_get(own, "$", "string") == F.col("key")), F.lit(False)), scan.KEY)
+        if self.policy:
+            m = F.variant_get("data", "$", "map<string,variant>")
+            sealed = lambda k, v: F.coalesce((F.schema_of_variant(v) == "STRING") & F.startswith(F.try_variant_get(v, "$", "string"), F.lit(crypto.MARK)), F.lit(False))
+            why = why.when(F.size(F.map_filter(m, sealed)) > 0, crypto.MARK)
+            if self.policy.mode == "record":
+                why = why.when(F.array_contains(F.map_keys(m), crypto.SECURE), crypto.SECURE)
+        why = why.when(F.octet_length(F.to_json("data")) > ndjson.MAX_RECORD, "too large")
+        bad = given.select(why.alias("why")).where("why is not null").limit(1).collect()
+        if bad and bad[0]["why"] == "too large":
+            raise RecordTooLarge(f"a record is at most {ndjson.MAX_RECORD} bytes")
+        if bad and bad[0]["why"].startswith("data"):
+            raise InvalidArgument(bad[0]["why"])
+        if bad:
+            raise ReservedField(f"{bad[0]['why']!r} is reserved")
+        for f, error in self._unique_fields():
+            v = Fields(given, "data")[f] if f != scan.KEY else None
+            said = given.where(v.present).select(v.txt.alias("v")) if v else given.where("key is not null").select(F.col("key").alias("v"))
+            if not said.groupBy("v").count().where("count > 1").limit(1).isEmpty():
+                raise error(f"{f} is repeated in the batch")
+
+    def _unique_fields(self) -> list[tuple[str, type]]:
+        fields = [f for f, unique in self.meta().get("indexes", {}).items() if unique and f != scan.KEY]
+        return [(scan.KEY, DuplicateKey), *((f, UniqueViolation) for f in fields)]
+
+    def _check_against(self, given: DataFrame, total: int, base: Version) -> None:
+        """What depends on the records that are there."""
+        now = self._live(base)
+        for f, error in self._unique_fields():
+            mine, theirs = Fields(given, "data")[f], Fields(now, "data")[f]
+            if not given.where(mine.present).select(mine.txt.alias("v")).join(now.where(theirs.present).select(theirs.txt.alias("v")), "v", "left_semi").limit(1).isEmpty():
+                raise error(f"{f} is taken")
+        self._room(total, base)
 
     def load_jsonl(self, source: str, key_field: str | None = None) -> int:
         """All objects of an NDJSON file, or none."""
@@ -401,7 +525,7 @@ class Collection:
 
     def reap(self) -> int:
         """Writes deletes for expired records; how many."""
-        base = self.storage.version()
+        base = self._writable()
         gone = self.expired().select("id")
         n = gone.count()
         if n:
@@ -415,7 +539,7 @@ class Collection:
         """Rewrites the log as the live records' last entries if enough of it is stale; file sets become one."""
         from docquarry.plans.log import latest, visible
 
-        base = self.storage.version()
+        base = self._writable()
         if not base.sets:
             return False
         keep = latest(self.storage.log(base)).where("op <> 'delete'").where(visible(self.clock()))
@@ -429,12 +553,19 @@ class Collection:
             self.on_compaction({"collection": self.name, "before": base.log_rows, "after": n})
         return True
 
-    def vacuum(self) -> int:
-        return self.storage.vacuum(self.storage.version())
+    def vacuum(self, retain_seconds: float = 7 * 86_400) -> int:
+        """Deletes what no version of the last ``retain_seconds`` uses; how many file sets."""
+        return self.storage.vacuum(retain_seconds)
+
+    def open_writes(self) -> None:
+        """Ends being a copy of another collection."""
+        v = self.storage.version()
+        if v.replica:
+            self.storage.commit(v, v.sets, v.next_id, v.next_seq, v.log_rows, "promote", replica=False)
 
     def migrate_encryption(self, policy: "crypto.Policy | None") -> None:
         """Rewrites every live record under another policy."""
-        base = self.storage.version()
+        base = self._writable()
         opened = self._open(self._live(base)).select("id", F.lit("insert").alias("op"), "ts", "rev", "data", F.lit(policy.epoch if policy else 0).cast("long").alias("epoch"), "expires_at", F.lit(base.next_seq).cast("long").alias("seq"))
         name = self.storage.write(crypto.seal_rows(opened, policy, self.name) if policy else opened, folder="base")
         rows = self.storage.log(Version(1, [name])).count()

@@ -24,7 +24,7 @@ class Outcome:
 class Script:
     """State of one script: the database and the collection in use.
 
-    Commands: use, collections, create, drop, insert, find, get, update, delete, stats, compact, backup.  Those on a collection take its
+    Commands: use, collections, create, drop, insert, find, get, update, delete, count, aggregate, import, export, stats, compact, backup.  Those on a collection take its
     name first unless ``use`` has named one; JSON stands in single quotes.
     """
 
@@ -48,7 +48,7 @@ class Script:
         name, *args = shlex.split(line)
         name = {"create-collection": "create", "drop-collection": "drop"}.get(name.lower(), name.lower())
         plain = {"use": 1, "collections": 0, "create": 1, "drop": 1, "backup": 1}
-        on_collection = {"insert": 1, "find": 0, "get": 1, "update": 2, "delete": 1, "stats": 0, "compact": 0}
+        on_collection = {"insert": 1, "find": 0, "get": 1, "update": 2, "delete": 1, "stats": 0, "compact": 0, "count": 0, "aggregate": 1, "import": 1, "export": 1}
         if name in plain:
             if len(args) < plain[name]:
                 raise InvalidArgument(f"{name} needs an argument")
@@ -96,6 +96,22 @@ class Script:
     def _delete(self, c, id: str) -> None:
         c.delete(int(id))
 
+    def _count(self, c, filter: str | None = None) -> int:
+        return c.count(filter)
+
+    def _aggregate(self, c, aggs: str, field: str = "", group_by: str = "", filter: str | None = None) -> list[dict]:
+        """aggregate count,sum field group-by-field filter; an empty field or group is given as ''."""
+        rows = c.aggregate(filter, group_by or None, field or None, tuple(aggs.split(",")))
+        if group_by:
+            rows = rows.withColumn("key", F.to_json(F.struct(F.col("key").alias("k"))))
+        return [r.asDict() | ({"key": json.loads(r["key"]).get("k")} if group_by else {}) for r in rows.collect()]
+
+    def _import(self, c, source: str, key_field: str | None = None) -> int:
+        return c.load_jsonl(source, key_field)
+
+    def _export(self, c, target: str) -> None:
+        c.export_jsonl(target)
+
     def _stats(self, c) -> dict:
         return c.stats()
 

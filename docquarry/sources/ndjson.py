@@ -10,6 +10,7 @@ import json
 import struct
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,15 +31,21 @@ def _table() -> list[int]:
     return out
 
 
-_CRC = _table()
+_CRC = np.array(_table(), dtype=np.uint32)
 
 
-def crc32c(raw: bytes, crc: int = 0) -> int:
-    """CRC-32C (Castagnoli)."""
-    crc ^= 0xFFFFFFFF
-    for b in raw:
-        crc = _CRC[(crc ^ b) & 0xFF] ^ crc >> 8
-    return crc ^ 0xFFFFFFFF
+def crc32c(raws: list[bytes]) -> np.ndarray:
+    """CRC-32C (Castagnoli) of many byte strings at once: one step takes the next byte of all that have one."""
+    size = np.array([len(r) for r in raws], dtype=np.int64)
+    order = np.argsort(-size, kind="stable")
+    data, begin = np.frombuffer(b"".join(raws), dtype=np.uint8), np.concatenate(([0], np.cumsum(size)[:-1]))[order] if len(raws) else size
+    crc = np.full(len(raws), 0xFFFFFFFF, dtype=np.uint32)
+    left = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")  # strings longer than each position
+    for j, n in enumerate(left.tolist()):
+        crc[:n] = _CRC[(crc[:n] ^ data[begin[:n] + j]) & np.uint32(0xFF)] ^ (crc[:n] >> np.uint32(8))
+    out = np.empty_like(crc)
+    out[order] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 _ESCAPED = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
@@ -63,14 +70,19 @@ def canonical(data: Any) -> bytes:
     return say(data).encode()
 
 
-def checksum(entry: dict) -> int:
+def covered(entry: dict) -> bytes:
+    """What an entry's checksum is of."""
     raw = struct.pack("<Q", entry["id"]) + entry["op"].encode()
     for name in ("rev", "expires_at", "epoch"):
         if entry.get(name):
             raw += struct.pack("<q" if name == "expires_at" else "<Q", entry[name])
     if entry.get("data") is not None:
         raw += canonical(entry["data"])
-    return crc32c(raw)
+    return raw
+
+
+def checksum(entry: dict) -> int:
+    return int(crc32c([covered(entry)])[0])
 
 
 def encode(entry: dict) -> str:
@@ -83,11 +95,9 @@ def encode(entry: dict) -> str:
 def _sound(lines: pd.Series) -> pd.Series:
     """Whether a line's checksum is right; lines without one are accepted."""
 
-    def ok(line: str) -> bool:
-        e = json.loads(line)
-        return not e.get("crc") or e["crc"] == checksum(e)
-
-    return lines.map(ok)
+    entries = [json.loads(line) for line in lines]
+    crc = crc32c([covered(e) for e in entries])
+    return pd.Series([not e.get("crc") or e["crc"] == int(c) for e, c in zip(entries, crc, strict=True)], dtype=bool)
 
 
 def read_log(spark: SparkSession, path: str, verify: bool = True, torn_tail: bool = True) -> DataFrame:
@@ -119,12 +129,14 @@ def numbered(entries: DataFrame) -> DataFrame:
 
 
 def load_objects(spark: SparkSession, path: str, key_field: str | None = None) -> DataFrame:
-    """(line, data, key) of an NDJSON file of objects; blank lines are skipped, the first bad line raises MalformedRecord.
+    """(data, key) of NDJSON files of objects; blank lines are skipped, the first bad line raises MalformedRecord.
 
-    With key_field every object must hold it as a string.
+    With key_field every object must hold it as a string.  Files are split among tasks; lines are counted only to tell a bad one's number.
     """
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    rows = text.where("trim(text) <> ''").select((F.col("line") + 1).alias("line"), "text", F.try_parse_json("text").alias("data"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    at = ("file", "block", "m")  # a line's place: row numbers ascend within a block
+    text = lines.select(F.regexp_replace("value", "\r$", "").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    rows = text.where("trim(text) <> ''").withColumn("data", F.try_parse_json("text"))
     kind = F.schema_of_variant("data")
     why = F.when(F.col("data").isNull(), "not JSON").when(~F.startswith(kind, F.lit("OBJECT")), "not an object").when(F.octet_length("text") > MAX_RECORD, "too large")
     why = why.when(F.try_variant_get("data", "$['_key']", "variant").isNotNull(), "reserved field _key") if key_field != "_key" else why
@@ -133,10 +145,12 @@ def load_objects(spark: SparkSession, path: str, key_field: str | None = None) -
         v = F.try_variant_get("data", f"$['{key_field}']", "variant")
         why = why.when(v.isNull() | (F.schema_of_variant(v) != "STRING"), f"{key_field} must be a string")
         key = F.try_variant_get(v, "$", "string")
-    bad = rows.select("line", why.alias("why")).where("why is not null").orderBy("line").limit(1).collect()
+    bad = rows.select(*at, why.alias("why")).where("why is not null").orderBy(*at).limit(1).collect()
     if bad:
-        raise MalformedRecord(bad[0]["line"], bad[0]["why"])
-    return rows.select("line", "data", key.alias("key"))
+        file, block, m, said = bad[0]
+        before = (F.col("block") < block) | ((F.col("block") == block) & (F.col("m") < m))
+        raise MalformedRecord(1 + text.where(F.col("file") == file).where(before).count(), said)
+    return rows.select("data", key.alias("key"))
 
 
 def export_objects(live: DataFrame, path: str) -> None:

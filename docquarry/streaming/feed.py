@@ -7,9 +7,8 @@ Replication copies log entries in order and skips those a follower has.
 
 from __future__ import annotations
 
-from collections import deque
+import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -17,10 +16,10 @@ from pyspark.sql import functions as F
 
 from docquarry.errors import Conflict
 from docquarry.operators.filters import where
-from docquarry.plans.collection import Collection
+from docquarry.plans.collection import EVENTS, Collection, Subscription
 from docquarry.plans.storage import COLUMNS
 
-EVENTS = {"insert": "INSERTED", "update": "UPDATED", "delete": "DELETED"}
+__all__ = ["EVENTS", "Subscription", "changes", "each_in_order", "events", "follow", "lag", "position", "promote", "replicate", "watch"]
 
 
 def events(log: DataFrame, filter: Any = None) -> DataFrame:
@@ -41,10 +40,11 @@ def position(c: Collection) -> int:
 def watch(c: Collection, filter: Any = None, from_seq: int | None = None, files_per_trigger: int = 64) -> DataFrame:
     """A stream of events after ``from_seq`` (now by default).  Back-pressure bounds a batch; none is dropped.
 
-    File sets appear when they are written, just before their commit; one whose commit another writer forestalled may be seen before its
-    writer deletes it.  ``changes`` reads committed sets only.  Compaction writes elsewhere, so it repeats no event.
+    File sets appear in the streamed folder once their commit stands, so a writer that was forestalled leaves no event.
+    Compaction writes elsewhere, so it repeats none.
     """
     start = position(c) if from_seq is None else from_seq
+    c.storage.files.mkdirs(f"{c.storage.path}/data")
     stream = c.spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{c.storage.path}/data")
     return events(stream.where(F.col("seq") > start), filter)
 
@@ -65,36 +65,15 @@ def each_in_order(sink: Callable[[list], None]) -> Callable[[DataFrame, int], No
     return run
 
 
-@dataclass
-class Subscription:
-    """A bounded queue for in-process listeners: what doesn't fit is dropped, and one OVERFLOW stands for it."""
-
-    size: int = 64
-    queue: deque = field(default_factory=deque)
-    lost: bool = False
-
-    def offer(self, event: Any) -> None:
-        if len(self.queue) >= self.size:
-            self.lost = True
-            return
-        if self.lost:
-            self.queue.append({"op": "OVERFLOW"})
-            self.lost = False
-            if len(self.queue) >= self.size:
-                self.lost = True
-                return
-        self.queue.append(event)
-
-    def take(self) -> Any:
-        return self.queue.popleft() if self.queue else None
-
-
 def replicate(leader: Collection, follower: Collection) -> int:
     """Appends the leader's entries beyond the follower's position; how many.
 
-    Running it again, or after a failure, adds none twice: the position moves with the commit.
+    Running it again, or after a failure, adds none twice: the position moves with the commit.  From the first time on the follower
+    takes no entries of its own, which would be numbered like the leader's next ones, until it is promoted.
     """
     base = follower.storage.version()
+    if base.number and not base.replica:
+        raise Conflict("the follower has entries of its own")
     top = position(leader)
     news = leader.log().where((F.col("seq") >= base.next_seq) & (F.col("seq") <= top))
     n = news.count()
@@ -102,8 +81,10 @@ def replicate(leader: Collection, follower: Collection) -> int:
         return 0
     name = follower.storage.write(news)
     v = leader.storage.version()
+    # Only entries that replace others make a follower's reads look for the last of each id
+    changes = not follower.storage.log(base, [name]).where("op <> 'insert'").limit(1).isEmpty()
     try:
-        follower.storage.commit(base, [*base.sets, name], max(base.next_id, v.next_id), top + 1, base.log_rows + n, "replicate", [*base.changing, name])
+        follower.storage.commit(base, [*base.sets, name], max(base.next_id, v.next_id), top + 1, base.log_rows + n, "replicate", [*base.changing, *[name] * changes], replica=True)
     except Conflict:
         follower.storage.discard(name)
         raise
@@ -119,4 +100,21 @@ def promote(leader: Collection, follower: Collection, open_writes: Callable[[],
     behind = lag(leader, follower)
     if behind > most_lag:
         raise Conflict(f"the follower lacks {behind} entries")
+    follower.open_writes()
     open_writes()
+
+
+def follow(leader: Collection, follower: Collection, stop: Callable[[], bool], every_seconds: float = 1.0, on_error: Callable[[Exception], None] | None = None) -> int:
+    """Replicates until ``stop`` says so; failed rounds are reported and tried again after a longer wait.  How many entries came."""
+    total, wait = 0, every_seconds
+    while not stop():
+        try:
+            total += replicate(leader, follower)
+            wait = every_seconds
+        except Exception as e:  # noqa: BLE001  the leader may be away for a while
+            if on_error:
+                on_error(e)
+            wait = min(2 * wait, 60 * every_seconds)
+        if not stop():
+            time.sleep(wait)
+    return total

@@ -85,7 +85,7 @@ def test_unique_and_quota(db):
     c.insert_many([{"x": 1}, {"x": 1}])  # absent fields don't clash
     with pytest.raises(errors.QuotaExceeded):
         c.insert({"e": "z"})
-    assert c.list_indexes() == ["e"] and c.index_lookup("e", "a") == [1]
+    assert c.list_indexes() == ["e"] and [r.id for r in c.index_lookup("e", "a").collect()] == [1]
     c.drop_index("e")
     with pytest.raises(errors.NotFound):
         c.drop_index("e")
@@ -164,7 +164,7 @@ def test_random_writes_and_compaction_follow_a_model(db, seed):
     assert seen(c) == model
     c.compact(force=True)
     assert seen(c) == model and c.stats()["dirty"] == 0
-    assert c.vacuum() > 0 and seen(c) == model
+    assert c.vacuum() == 0 and c.vacuum(0) > 0 and seen(c) == model
 
 
 def test_pages_cover_every_row_once(db):
@@ -211,7 +211,7 @@ def test_log_import(db, tmp_path):
     (tmp_path / "bad/seg-1.ndjson").write_text(e(1, "insert", 1, {"n": 1}).replace('"n":1', '"n":2') + "\n")
     with pytest.raises(Exception, match="checksum differs"):
         ndjson.read_log(db.spark, f"{tmp_path}/bad").collect()
-    assert ndjson.crc32c(b"123456789") == 0xE3069283
+    assert ndjson.crc32c([b"123456789", b"", b"123456789" * 2, b"a"])[[0, 1]].tolist() == [0xE3069283, 0]
 
 
 def test_snapshot_and_restore(db, tmp_path):
