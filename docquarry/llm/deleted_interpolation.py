@@ -33,8 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.blobs import bucket_log, cuts, pack, pack_sorted, unpack, unpack_sorted
+from docquarry.llm.blobs import ROWS, Exchange, asked, bucket_log, exchange, first_bits, pack, pack_sorted, unpack, unpack_sorted
 from docquarry.llm.common import fold_of, input_bytes, mix64, pieces, write_shared
+from docquarry.llm.parts import tasks_for
 from docquarry.llm.words import TOKEN, words_of
 
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -112,7 +113,7 @@ class _Chunk:
         """(order, keys, counts in the main folds, counts in the held-out fold)."""
         of = np.repeat(self.fold, self.n)
         for order, keys, at in ((1, self.known, self.token), (2, self.pairs, self.pair)):
-            main, held = (np.bincount(at[x], minlength=len(keys)).astype(np.uint32) for x in ((of != TEST) & (of != HELD), of == HELD))
+            main, held = (np.bincount(at[x], minlength=len(keys)).astype(np.uint64) for x in ((of != TEST) & (of != HELD), of == HELD))
             yield order, keys, main, held
 
 
@@ -126,44 +127,33 @@ def added(at: np.ndarray, counts: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def totals(chunks: DataFrame, log: int) -> DataFrame:
-    """Answers (chunk, order, bucket, size, blob) for every chunk; rows of chunk -1 hold a bucket's sums."""
+def _merge(entries: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    known, of = np.unique(entries[0], return_inverse=True)
+    return [known, *(added(of, [x], len(known)) for x in entries[1:])], of
+
+
+def _total(kind: int, entries: list[np.ndarray]) -> tuple[list[np.ndarray], dict[str, int]]:
+    (_, main, held), of = _merge(entries)
+    sums = {"distinct": int(((main + held) > 0).sum()), "main": int(main.sum()), "held": int(held.sum())}
+    return [main[of], held[of]], sums if kind == 1 else dict.fromkeys(sums, 0)
+
+
+#: Counts in the main folds and in the held-out fold; kind is the order.
+COUNTS = Exchange((np.uint64, np.uint64), (np.uint64, np.uint64), _merge, _total, lambda answers, _, of: answers, ("distinct", "main", "held"))
+
+
+def totals(chunks: DataFrame, count: int, log: int) -> tuple[DataFrame, DataFrame]:
+    """Answers (chunk, order, bucket, size, blob) for every chunk, and buckets' sums over tokens."""
+    bits = first_bits(log)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 for order, keys, main, held in _Chunk(row).counts():
-                    at = cuts(keys, 64, log)
-                    yield pa.RecordBatch.from_pydict({
-                        "bucket": pa.array(np.arange(1 << log), pa.int32()), "chunk": pa.array([row["chunk"]] * (1 << log), pa.int64()), "order": pa.array([order] * (1 << log), pa.int32()),
-                        "size": pa.array(np.diff(at), pa.int32()), "blob": pa.array([pack_sorted(keys[i:j], main[i:j], held[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
-
-    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        out = {"chunk": [], "order": [], "bucket": [], "size": [], "blob": [], "distinct": [], "main": [], "held": []}
-
-        def put(*row) -> None:
-            for c, x in zip(out, row, strict=True):
-                out[c].append(x)
-
-        rows = list(zip(*(t.column(c).to_pylist() for c in ("chunk", "order", "size", "blob")), strict=True))
-        for order in (1, 2):
-            own = [(c, s, unpack_sorted(raw, s, np.uint32, np.uint32)) for c, o, s, raw in rows if o == order and s]
-            if not own:
-                continue
-            keys, at = np.unique(np.concatenate([x[0] for *_, x in own]), return_inverse=True)
-            main, held = (added(at, [x[i] for *_, x in own], len(keys)) for i in (1, 2))
-            if order == 1:
-                put(-1, 1, key[0].as_py(), 0, b"", int(((main + held) > 0).sum()), int(main.sum()), int(held.sum()))
-            begin = 0
-            for c, s, _ in own:
-                mine = at[begin : begin + s]
-                begin += s
-                put(c, order, key[0].as_py(), s, pack(main[mine], held[mine]), 0, 0, 0)
-        return pa.table({c: pa.array(x, pa.binary() if c == "blob" else pa.int32() if c in ("order", "bucket", "size") else pa.int64()) for c, x in out.items()})
-
-    asked = chunks.select("chunk", *_COLUMNS).mapInArrow(ask, "bucket int, chunk long, order int, size int, blob binary").where("size > 0")
-    answer = asked.groupBy("bucket").applyInArrow(add, "chunk long, order int, bucket int, size int, blob binary, distinct long, main long, held long")
-    return write_shared(answer, "totals")
+                    yield asked(order, row["chunk"], [keys, main, held], bits)
+
+    answers, sums = exchange(chunks.select("chunk", *_COLUMNS).mapInArrow(ask, ROWS), log, count, COUNTS)
+    return answers.select(F.col("part").alias("chunk"), F.col("kind").alias("order"), "bucket", "size", "blob"), sums
 
 
 def _opened(left: pa.Table, right: pa.Table) -> tuple[_Chunk, dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,8 +165,8 @@ def _opened(left: pa.Table, right: pa.Table) -> tuple[_Chunk, dict, np.ndarray,
     return _Chunk(row), row, *one
 
 
-def _meet(chunks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    return chunks.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "order", "bucket", "size", "blob").groupBy("chunk")).applyInArrow(run, schema)
+def _meet(chunks: DataFrame, answers: DataFrame, tasks: int, run, schema: str) -> DataFrame:
+    return chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(answers.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(run, schema)
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -189,7 +179,7 @@ def _bins(p: np.ndarray, uniform: float) -> np.ndarray:
         return np.where(p > 0, np.clip(np.rint(np.log(p / uniform) / STEP) + 100, 1, 499), 0).astype(np.int64)
 
 
-def learn_weights(chunks: DataFrame, answers: DataFrame, main: int, distinct: int) -> np.ndarray:
+def learn_weights(chunks: DataFrame, answers: DataFrame, tasks: int, main: int, distinct: int) -> np.ndarray:
     """BUCKETS x 3 mixture weights (uniform, unigram, bigram) from the held-out fold."""
     uniform = 1 / (distinct + 1)
 
@@ -203,7 +193,7 @@ def learn_weights(chunks: DataFrame, answers: DataFrame, main: int, distinct: in
             cells, n = np.unique((_bucket(context) * 500 + _bins(p2, uniform)) * 500 + _bins(p1, uniform), return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    got = _meet(chunks.where("held"), answers.join(chunks.where("held").select("chunk"), "chunk", "left_semi"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = _meet(chunks.where("held"), answers.join(chunks.where("held").select("chunk"), "chunk", "left_semi"), max(1, tasks // 4), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy().astype(float)
     b, r2, r1 = cell // 250_000, cell // 500 % 500, cell % 500
     ratio = lambda r: np.where(r > 0, np.exp((r - 100) * STEP), 0.0)
@@ -239,15 +229,18 @@ class Model:
     every: int
     distinct: int
     weights: np.ndarray
+    tasks: int  # that share the chunks
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, Model]:
     """Chunks, totals and the model."""
     chunks = tokenise(docs, id_col, text_col)
-    answers = totals(chunks, bucket_log(input_bytes(chunks), 12 << 20))
-    s = answers.where("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "main", "held"))).first()
+    count = chunks.count()
+    answers, sums = totals(chunks, count, bucket_log(input_bytes(chunks), 12 << 20))
+    s = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "main", "held"))).first()
     distinct, main, every = int(s[0]), int(s[1]), int(s[1] + s[2])
-    return chunks, answers, Model(every, distinct, learn_weights(chunks, answers, main, distinct))
+    tasks = tasks_for(count, 4)
+    return chunks, answers, Model(every, distinct, learn_weights(chunks, answers, tasks, main, distinct), tasks)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,4 +263,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             "base_score": pa.array(by(np.log10(one + 0.5)[c.token] - base)), "score": pa.array(by(np.log10(p)))})
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _meet(chunks, answers, run, schema).withColumnRenamed("id", id_col)
+    return _meet(chunks, answers, model.tasks, run, schema).withColumnRenamed("id", id_col)

@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.blobs import bucket_log, cuts, pack, pack_sorted, unpack, unpack_sorted
+from docquarry.llm.blobs import ROWS, Exchange, asked, bucket_log, exchange, first_bits, unpack
 from docquarry.llm.common import input_bytes, mix64
-from docquarry.llm.parts import lay_out, open_part, runs_of
+from docquarry.llm.parts import lay_out, open_part, runs_of, tasks_for
 
 WINDOW = 32
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -129,38 +129,45 @@ def _owner(doc_id) -> int:
     return doc_id if isinstance(doc_id, int) else int.from_bytes(str(doc_id).encode()[:8].ljust(8, b"\0")) - (1 << 63)
 
 
-def _answers(parts: DataFrame, log: int, plan: Plan) -> DataFrame:
+def _merge(entries: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    keys, owner, more = entries
+    known, of = np.unique(keys, return_inverse=True)
+    least = np.full(len(known), np.iinfo(np.int64).max, dtype=np.int64)
+    np.minimum.at(least, of, owner.view(np.int64))
+    return [known, least.view(np.uint64), (np.bincount(of, weights=1 + more.astype(np.int64)) > 1).astype(np.uint8)], of
+
+
+def _lead(owner: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether an entry is the first of its key: of least owner, then of the lowest part."""
+    order = np.lexsort((np.arange(len(of)), owner.view(np.int64), of))
+    lead = np.ones(len(of), dtype=bool)
+    lead[1:] = of[order][1:] != of[order][:-1]
+    out = np.zeros(len(of), dtype=bool)
+    out[order[lead]] = True
+    return out
+
+
+def _total(_: int, entries: list[np.ndarray]) -> tuple[list[np.ndarray], dict[str, int]]:
+    (_, _, more), of = _merge(entries)
+    return [more[of] | np.where(_lead(entries[1], of), 2, 0).astype(np.uint8)], {}
+
+
+def _give(answers: list[np.ndarray], entries: list[np.ndarray], of: np.ndarray) -> list[np.ndarray]:
+    return [np.where(_lead(entries[1], of), answers[0], answers[0] & np.uint8(1))]
+
+
+def _answers(parts: DataFrame, count: int, log: int, plan: Plan) -> DataFrame:
     """(part, bucket, size, blob): for each distinct digest of a part, bit 1 if it is repeated and bit 2 if its first occurrence is here."""
+    bits = first_bits(log)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 p = _Part(row, plan)
-                at = cuts(p.keys, 64, log)
-                more = (p.count > 1).astype(np.uint8)
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(np.arange(1 << log), pa.int32()), "part": pa.array([row["part"]] * (1 << log), pa.int64()), "size": pa.array(np.diff(at), pa.int32()),
-                    "blob": pa.array([pack_sorted(p.keys[i:j], p.owner[i:j].view(np.uint64), more[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
-
-    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("part", "size", "blob")), strict=True))
-        got = [unpack_sorted(raw, s, np.uint64, np.uint8) for _, s, raw in rows]
-        keys, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        owner = np.concatenate([g[1] for g in got]).view(np.int64)
-        seen = np.bincount(at, minlength=len(keys)) + np.bincount(at, weights=np.concatenate([g[2] for g in got]), minlength=len(keys))
-        order = np.lexsort((np.arange(len(at)), owner, at))  # parts are in order already
-        lead = np.ones(len(at), dtype=bool)
-        lead[1:] = at[order][1:] != at[order][:-1]
-        flags = (seen > 1).astype(np.uint8)[at]
-        flags[order[lead]] |= 2
-        blobs, begin = [], 0
-        for _, s, _ in rows:
-            blobs.append(pack(flags[begin : begin + s]))
-            begin += s
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "size": pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    asked = parts.mapInArrow(ask, "bucket int, part long, size int, blob binary").where("size > 0")
-    return asked.groupBy("bucket").applyInArrow(add, "part long, bucket int, size int, blob binary")
+                yield asked(0, row["part"], [p.keys, p.owner.view(np.uint64), (p.count > 1).astype(np.uint8)], bits)
+
+    how = Exchange((np.uint64, np.uint8), (np.uint8,), _merge, _total, _give)
+    return exchange(parts.mapInArrow(ask, ROWS), log, count, how)[0].select("part", "bucket", "size", "blob")
 
 
 def border(raw: bytes, at: int, up: bool) -> int:
@@ -183,8 +190,8 @@ def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_c
     """Per row: id, n_bytes, n_chunks, n_repeated (bytes in repeated runs, first occurrences too), removed array of
     [start, end) byte spans, kept_sha256; with text=True also kept, what stays."""
     parts = lay_out(docs, id_col, text_col)
-    log = bucket_log(input_bytes(parts))
-    answers = _answers(parts, log, plan)
+    count, log = parts.count(), bucket_log(input_bytes(parts))
+    answers = _answers(parts, count, log, plan)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -215,7 +222,8 @@ def repeats(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_c
         return pa.table(out | ({"kept": pa.array(kept, pa.string())} if text else {}))
 
     schema = f"id {kind}, n_bytes long, n_chunks long, n_repeated long, removed array<struct<start:long,end:long>>, kept_sha256 string" + ", kept string" * text
-    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    tasks = tasks_for(count, 2)
+    return parts.repartition(tasks, "part").groupBy("part").cogroup(answers.repartition(tasks, "part").groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

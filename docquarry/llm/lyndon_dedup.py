@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import jvm
-from docquarry.llm.blobs import bucket_log, cuts, pack, pack_sorted, unpack, unpack_sorted
+from docquarry.llm.blobs import ROWS, Exchange, asked, bucket_log, exchange, first_bits, pack, pack_sorted, unpack, unpack_sorted
 from docquarry.llm.common import input_bytes, mix64, write_shared
 from docquarry.llm.parts import lay_out, open_part, runs_of, tasks_for
 from docquarry.llm.words import _powers
@@ -182,51 +182,67 @@ def core_of(content: bytes, length: int, plan: Plan) -> int:
     return int(_lowest(_hashes(total, inverse, np.arange(length - plan.seed + 1), plan.seed), length - plan.seed + 1)[0])
 
 
-def _counted(parts: DataFrame, log: int, plan: Plan) -> DataFrame:
-    """(part, bucket, size, blob, gathered): an answer byte for each distinct segment; gathered segments of the bucket, on one row."""
+def _order(keys: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in the order of (key, digest), the lowest part's first; where a new pair and where a new key begins."""
+    order = np.lexsort((np.arange(len(keys)), digests, keys))
+    k, d = keys[order], digests[order]
+    new_key = np.ones(len(k), dtype=bool)
+    new_key[1:] = k[1:] != k[:-1]
+    new = new_key.copy()
+    new[1:] |= d[1:] != d[:-1]
+    return order, new, new_key
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                (keys, more), digests = unpack_sorted(row["keys"], row["n_pairs"], np.uint8), unpack(row["digests"], row["n_pairs"], np.uint64)[0]
-                at = cuts(keys, 64, log)
-                own = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array(own, pa.int32()), "part": pa.array([row["part"]] * len(own), pa.int64()), "size": pa.array(np.diff(at)[own], pa.int32()),
-                    "blob": pa.array([pack_sorted(keys[at[i] : at[i + 1]], digests[at[i] : at[i + 1]], more[at[i] : at[i + 1]]) for i in own], pa.binary())})
-
-    def add(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("part", "size", "blob")), strict=True))
-        got = [unpack_sorted(raw, s, np.uint64, np.uint8) for _, s, raw in rows]
-        keys, digests = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-        order = np.lexsort((np.arange(len(keys)), digests, keys))
-        k, d, w = keys[order], digests[order], 1 + np.concatenate([g[2] for g in got])[order].astype(np.int64)
-        new_key = np.ones(len(k), dtype=bool)
-        new_key[1:] = k[1:] != k[:-1]
-        new = new_key.copy()
-        new[1:] |= d[1:] != d[:-1]
+
+def _merge(entries: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    keys, digests, more = entries
+    order, new, _ = _order(keys, digests)
+    of = np.empty(len(keys), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    times = np.bincount(of, weights=1 + more.astype(np.int64))
+    return [keys[first], digests[first], (times > 1).astype(np.uint8)], of
+
+
+def _exchange(plan: Plan) -> Exchange:
+    """An answer byte for each distinct segment; sums: segments that are to be compared, and those of hot minimizers."""
+
+    def total(_: int, entries: list[np.ndarray]) -> tuple[list[np.ndarray], dict[str, int]]:
+        keys, digests, more = entries
+        order, new, new_key = _order(keys, digests)
         of, of_key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-        times = np.bincount(of, weights=w)
+        times = np.bincount(of, weights=1 + more[order].astype(np.int64))
         kinds = np.bincount(of_key[new])  # different segments of each key
-        single = np.bincount(of_key[new], weights=times < 2)
-        differ = (kinds > 1) & (single > 0)
-        flags = np.zeros(len(k), dtype=np.uint8)
+        differ = (kinds > 1) & (np.bincount(of_key[new], weights=times < 2) > 0)
+        flags = np.zeros(len(keys), dtype=np.uint8)
         flags |= np.where(times[of] > 1, REPEATED, 0).astype(np.uint8)
         flags |= np.where(differ[of_key], DIFFER, 0).astype(np.uint8)
         flags |= np.where(new & differ[of_key], OWNER, 0).astype(np.uint8)  # the lowest part that has it
         flags |= np.where((kinds > plan.gather)[of_key] & differ[of_key], HOT, 0).astype(np.uint8)
         out = np.empty_like(flags)
         out[order] = flags
-        blobs, begin = [], 0
-        for _, s, _ in rows:
-            blobs.append(pack(out[begin : begin + s]))
-            begin += s
-        owners = lambda hot: [int(((flags & (OWNER | HOT)) == (OWNER | hot)).sum())] + [0] * (len(rows) - 1)
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "size": pa.array([r[1] for r in rows], pa.int32()),
-                         "blob": pa.array(blobs, pa.binary()), "gathered": pa.array(owners(0), pa.int64()), "hot": pa.array(owners(HOT), pa.int64())})
+        owners = lambda hot: int(((flags & (OWNER | HOT)) == (OWNER | hot)).sum())
+        return [out], {"gathered": owners(0), "hot": owners(HOT)}
+
+    def give(answers: list[np.ndarray], entries: list[np.ndarray], of: np.ndarray) -> list[np.ndarray]:
+        first = np.zeros(len(of), dtype=bool)
+        first[np.unique(of, return_index=True)[1]] = True
+        return [np.where(first, answers[0], answers[0] & np.uint8(255 - OWNER))]
+
+    return Exchange((np.uint64, np.uint8), (np.uint8,), _merge, total, give, ("gathered", "hot"))
+
+
+def _counted(parts: DataFrame, count: int, log: int, plan: Plan) -> tuple[DataFrame, DataFrame]:
+    """Answers (part, bucket, size, blob), and buckets' sums."""
+    bits = first_bits(log)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                keys, more = unpack_sorted(row["keys"], row["n_pairs"], np.uint8)
+                yield asked(0, row["part"], [keys, unpack(row["digests"], row["n_pairs"], np.uint64)[0], more], bits)
 
-    asked = parts.select("part", "n_pairs", "keys", "digests").where("n_pairs > 0").mapInArrow(ask, "bucket int, part long, size int, blob binary").repartition(1 << (log - 1), "bucket")
-    return asked.groupBy("bucket").applyInArrow(add, "part long, bucket int, size int, blob binary, gathered long, hot long")
+    rows = parts.select("part", "n_pairs", "keys", "digests").where("n_pairs > 0").mapInArrow(ask, ROWS)
+    return exchange(rows, log, count, _exchange(plan))
 
 
 def _flags(right: pa.Table) -> np.ndarray:
@@ -395,11 +411,12 @@ def deduplicate(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", te
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, n_passage; with spans=True also removed, array of [start, end) bytes."""
     parts = lay_out(docs, id_col, text_col, 8 << 20, lambda texts: _stored(texts, plan), _STORED)
     log = bucket_log(input_bytes(parts))
-    tasks = tasks_for(parts.count(), 2)
-    counted = write_shared(_counted(parts, log, plan), "counted")
-    gathered, hot = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("gathered", "hot"))).first()
+    count = parts.count()
+    tasks = tasks_for(count, 2)
+    counted, sums = _counted(parts, count, log, plan)
+    gathered, hot = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("gathered", "hot"))).first()
     told = _told_apart(parts, counted, tasks, gathered, hot, plan)
-    answers = counted.select("part", "bucket", "size", "blob", F.lit(-1).alias("pair"), F.lit(0).alias("shift")).unionAll(told.select("part", F.lit(-1).alias("bucket"), "size", "blob", "pair", "shift"))
+    answers = counted.select("part", "bucket", "size", "blob", F.lit(-1).alias("pair"), F.lit(0).alias("shift")).unionAll(told.select("part", F.lit(-1).cast("long").alias("bucket"), "size", "blob", "pair", "shift"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docquarry.llm import dartminhash, gear_chunks, kmeans_tree, lsh_ensemble, lyndon_dedup, url_templates
+from docquarry.llm import blobs, dartminhash, deleted_interpolation, gear_chunks, kmeans_tree, lsh_ensemble, lyndon_dedup, url_templates
 from docquarry.llm.components import components, extend
 from docquarry.llm.registry import ORACLES, QUERIES, RULES
 from tests.llm.conftest import prose
@@ -445,3 +445,18 @@ def test_chunks_against_plain_counts(spark, odd_docs):
         assert got[i].kept.encode() == b"".join(t[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(t)]))
     named = docs.selectExpr("concat('d', lpad(doc_id, 5, '0')) AS doc_id", "text")
     assert {int(r.doc_id[1:]): r.kept_sha256 for r in gear_chunks.repeats(named).collect()} == {i: r.kept_sha256 for i, r in got.items()}
+
+
+def test_exchanges_over_several_levels_agree(spark, odd_docs, monkeypatch):
+    """Totals by groups of groups of parts are those of one level: tokens, chunks and segments."""
+    docs = odd_docs.select("doc_id", "text").where("doc_id is null or doc_id <> 107").repartition(11)
+
+    def results():
+        model = sorted((r.doc_id or -1, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in deleted_interpolation.score(docs).collect())
+        chunks = sorted((r.doc_id or -1, r.n_repeated) for r in gear_chunks.digest(gear_chunks.repeats(docs)).where("doc_id <> 105 or doc_id is null").collect())
+        spans = sorted((r.doc_id or -1, r.n_removed, r.kept_sha256, r.n_passage) for r in lyndon_dedup.deduplicate(docs, lyndon_dedup.Plan(gather=4)).collect())
+        return model, chunks, spans
+
+    want = results()
+    monkeypatch.setattr(blobs, "FAN", 3)
+    assert blobs.first_bits(7) == 3 and results() == want
