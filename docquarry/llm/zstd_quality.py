@@ -36,7 +36,7 @@ from docquarry.llm.common import fold, texts_of, write_shared
 class Training:
     most_docs: int = 4000
     most_blocks: int = 12_000  # of each label
-    block: int = 4096  # bytes compressed at a time when scoring
+    block: int = 1024  # bytes compressed at a time when scoring
     sample_block: int = 2048  # bytes of a training block
     dictionary: int = 112_640
     level: int = 3
@@ -93,11 +93,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def dictionaries(good: list[bytes], bad: list[bytes], how: Training) -> tuple[bytes, bytes]:
-    """One dictionary of each label's blocks; empty ones where there is too little text for the trainer."""
-    try:
-        return tuple(zstandard.train_dictionary(min(how.dictionary, max(1024, sum(map(len, x)) // 4)), x).as_bytes() for x in (good, bad))
-    except (zstandard.ZstdError, ValueError):
-        return b"", b""
+    """One dictionary of each label's blocks, of one size: the largest, halved from ``how.dictionary``, that both fill.
+
+    A dictionary that the trainer can't fill holds little of its label's text, and sizes would differ by that alone.
+    Empty ones where there is too little text for the trainer.
+    """
+    size = min(how.dictionary, *(sum(map(len, x)) // 4 for x in (good, bad)))
+    while size >= 256:
+        try:
+            made = tuple(zstandard.train_dictionary(size, x).as_bytes() for x in (good, bad))
+        except (zstandard.ZstdError, ValueError):
+            made = (b"", b"")
+        if min(map(len, made)) >= 0.9 * size:
+            return made
+        size //= 2
+    return b"", b""
 
 
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:

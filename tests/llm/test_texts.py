@@ -130,12 +130,12 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     model = zstd_quality.train(docs, labels(marks))
     score = model.scorer()
     assert score(prose(rng, 150)) > 0.8 > 0.2 > score(" | ".join(prose(rng, 150).split()))
-    # score() against the definition: sizes of 4,096-byte blocks, normalised and calibrated
+    # score() against the definition: sizes of blocks, normalised and calibrated
     sizes = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in (zstandard.ZstdCompressionDict(model.good), zstandard.ZstdCompressionDict(model.bad))]
     plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def by_hand(text):
-        parts = [text.encode()[k : k + 4096] for k in range(0, len(text.encode()), 4096)]
+        parts = [text.encode()[k : k + model.how.block] for k in range(0, len(text.encode()), model.how.block)]
         g, b = (sum(len(c.compress(p)) for p in parts) for c in sizes)
         return 1 / (1 + math.exp(-(model.intercept + model.slope * (b - g) / max(1, sum(len(plain.compress(p)) for p in parts)))))
 
