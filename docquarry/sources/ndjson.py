@@ -100,16 +100,22 @@ def _sound(lines: pd.Series) -> pd.Series:
     return pd.Series([not e.get("crc") or e["crc"] == int(c) for e, c in zip(entries, crc, strict=True)], dtype=bool)
 
 
-def read_log(spark: SparkSession, path: str, verify: bool = True, torn_tail: bool = True) -> DataFrame:
+def read_log(spark: SparkSession, path: str, verify: bool = True, torn_tail: bool = True, after: tuple[str, int] | None = None) -> DataFrame:
     """All entries of a folder of segments (or one file) in log order: ENTRY and seq, by file name and line.
 
     The unterminated last line of the last segment is dropped if ``torn_tail``; any other bad line is an error.
+    ``after`` is a position (an entry's seq: file and line) to go on from: segments before it are not read.
     Each segment is one row while it is cut into lines, so segments should stay small (4 MiB as written by the engine).
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value"))
+    files = spark.read.text(path, wholetext=True)
+    if after is not None:
+        files = files.where(F.col("_metadata.file_name") >= after[0])
+    files = files.select(F.col("_metadata.file_name").alias("file"), F.col("value"))
     lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"), F.endswith("value", F.lit("\n")).alias("ended"), F.size(F.split("value", "\n")).alias("n"))
     if torn_tail:
         lines = lines.where(~((F.col("file") == files.agg(F.max("file")).scalar()) & ~F.col("ended") & (F.col("line") == F.col("n") - 1)))
+    if after is not None:
+        lines = lines.where((F.col("file") > after[0]) | ((F.col("file") == after[0]) & (F.col("line") > after[1])))
     lines = lines.where("trim(text) <> ''").select("file", "line", "text")
     if verify:
         lines = lines.withColumn("sound", _sound("text")).select(

@@ -175,3 +175,16 @@ def test_script_commands_and_upkeep_thread(db, tmp_path):
         time.sleep(0.2)
     stop()
     assert c.stats()["dirty"] == 0 and db.upkeep_error is None
+
+
+def test_a_log_scan_goes_on_from_a_position(spark, tmp_path):
+    from docquarry.sources import ndjson
+
+    entries = [{"id": i, "op": "insert", "rev": 1, "data": {"n": i}} for i in range(1, 10)]
+    for n in range(3):
+        (tmp_path / f"{n:04d}.log").write_text("".join(ndjson.encode(e) + "\n" for e in entries[3 * n : 3 * n + 3]) + '{"torn' * (n == 2))
+    every = ndjson.read_log(spark, f"file://{tmp_path}").orderBy("seq").collect()
+    assert [r.id for r in every] == list(range(1, 10))
+    for k in range(9):
+        got = ndjson.read_log(spark, f"file://{tmp_path}", after=tuple(every[k].seq))
+        assert sorted(r.id for r in got.collect()) == list(range(k + 2, 10))
