@@ -24,18 +24,20 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _settled(now: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: each u has one v, and no v is a u.  Then every v is the least of its component."""
+    ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    seen = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.count(F.lit(1)).alias("n"))
+    return seen.where("up > 1 or (up = 1 and n > 1)").limit(1).isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of an edge (a, b) table of longs; root is the least node of the component."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    mark = None
-    for _ in range(rounds):
-        now = write_shared(_stars(_stars(now, True), False), "stars")
-        said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if said == mark:
-            break
-        mark = said
-    else:
-        raise RuntimeError("components did not settle")
+    now = write_shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    while not _settled(now):
+        if not rounds:
+            raise RuntimeError("components did not settle")
+        now, rounds = write_shared(_stars(_stars(now, True), False), "stars"), rounds - 1
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -178,7 +178,7 @@ def _digest(h: np.ndarray, n: np.ndarray, d: np.ndarray, docs: int) -> np.ndarra
 
 
 #: Texts that are thrown at a time: a short one takes as many darts as a long one.
-TEXTS = 256
+TEXTS = 128
 
 
 def sketch(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,7 +271,7 @@ def link(table: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame, DataFrame]
         elif turn:
             break
     more = write_shared(remaining(bucket, roots, table, plan), "links")
-    return rep, links.unionAll(more), extend(roots, more.select("a", "b"))
+    return rep, links.unionAll(more), roots if more.isEmpty() else extend(roots, more.select("a", "b"))
 
 
 #: Members outside the largest class, and members, that one task of remaining() compares.

@@ -70,7 +70,7 @@ class Plan:
 
 def _prefix_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of byte times power, from which the hash of any string follows; and the inverse powers."""
-    power, inverse = _powers(max(2 * PIECE, 1 << int(len(raw)).bit_length()))
+    power, inverse = _powers(max(1 << 16, 1 << int(len(raw)).bit_length()))
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +31,24 @@ TOKEN[0x41:0x5B] = TOKEN[0x61:0x7B]
 TOKEN[[0x20, *range(0x09, 0x0E)]] = 0
 
 
-@lru_cache(maxsize=2)
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse, modulo 2**64."""
-    def of(x: int) -> np.ndarray:
+    """base ** i and its inverse, modulo 2**64, for i below n at least; the longest up to 2**21 is kept."""
+    kept = next(iter(_TABLES.values()), None)
+    if kept is not None and len(kept[0]) >= n:
+        return kept
+    made = []
+    for x in (_BASE, pow(_BASE, -1, 1 << 64)):
         out = np.full(n, np.uint64(x))
         out[0] = 1
         with np.errstate(over="ignore"):
-            return np.multiply.accumulate(out)
-
-    return of(_BASE), of(pow(_BASE, -1, 1 << 64))
+            made.append(np.multiply.accumulate(out))
+    if n <= 1 << 21:
+        _TABLES.clear()
+        _TABLES[n] = made[0], made[1]
+    return made[0], made[1]
 
 
 @dataclass
@@ -77,7 +84,7 @@ def words_of(texts: pa.Array, table: np.ndarray = ALNUM) -> Words:
     start = np.flatnonzero(on & (~before | first[:n]))
     after = np.concatenate((on[1:], [False])) if n else on
     stop = np.flatnonzero(on & (~after | first[1:])) + 1
-    power, inverse = _powers(max(1 << 21, 1 << int(n).bit_length()))
+    power, inverse = _powers(max(1 << 19, 1 << int(n).bit_length()))
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(code.astype(np.uint64) * power[:n], out=total[1:])
