@@ -154,6 +154,7 @@ def find_page(
     token = None
     if limit and (order_by or page_token):
         exprs, _ = ordered(df, order_by, data, id_col)
+        rows = rows.persist()  # limit + 1 rows: the token and the page come from one evaluation
         keys = rows.select(*(c.alias(f"k{i}") for i, (c, _) in enumerate(exprs))).collect()  # limit + 1 rows of sort values
         if len(keys) > limit:
             last = [x if not isinstance(x, float) or math.isfinite(x) else str(x) for x in keys[limit - 1]]
