@@ -108,8 +108,29 @@ def _url_sql(rules: list[tuple[str, str]], how: Tree = Tree()) -> str:
         FROM urls u JOIN tree t ON t.host = u.host AND t.shapes = u.shapes JOIN judged j ON j.host = t.host AND j.template = t.template"""
 
 
+def _suffix_sql(plan: lyndon_dedup.Plan = lyndon_dedup.Plan()) -> str:
+    """op9: every window of a text's bytes (two hexadecimal digits each), those that occur twice, and the stretches that they cover."""
+    space = "('20', '09', '0A', '0B', '0C', '0D')"
+    stretches = lambda n: f"""(SELECT r, min(pos) AS a, max(pos) + {n} AS b FROM (
+            SELECT r, pos, sum(CASE WHEN pos <= before + {n} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS run FROM (
+                SELECT r, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS before FROM (
+                    SELECT r, pos, count(*) OVER (PARTITION BY w) AS times FROM (
+                        SELECT r, pos, md5_number(substr(h, 2 * pos + 1, {2 * n})) AS w FROM (SELECT r, h, unnest(range(n - {n} + 1)) AS pos FROM docs WHERE n >= {n}))) WHERE times > 1)) GROUP BY r, run)"""
+    return f"""
+        WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, h, length(h) // 2 AS n FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+        gone AS MATERIALIZED {stretches(plan.length)},
+        pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last FROM gone),
+        kept AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h FROM pieces JOIN docs USING (r) GROUP BY r),
+        again AS MATERIALIZED {stretches(plan.passage)},
+        passages AS (SELECT r, sum(b - a) AS n FROM again JOIN docs USING (r)
+            WHERE len(list_filter(range(a, b), lambda i: substr(h, 2 * i + 1, 2) NOT IN {space} AND (i = a OR substr(h, 2 * i - 1, 2) IN {space}))) > {plan.words} GROUP BY r)
+        SELECT doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256, coalesce(p.n, 0)::BIGINT AS n_passage
+        FROM docs d LEFT JOIN kept k USING (r) LEFT JOIN passages p USING (r)"""
+
+
 #: Exact results of the operators that SQL can express; the operators find candidates by signatures and verify them.
 ORACLES: dict[str, str] = {
+    "op9_lyndon_dedup": _suffix_sql(),
     "op5_url_templates": _url_sql(url_templates.rules_of(RULES)),
     "op3_dartminhash": f"""
         WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),

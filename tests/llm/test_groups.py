@@ -460,3 +460,14 @@ def test_exchanges_over_several_levels_agree(spark, odd_docs, monkeypatch):
     want = results()
     monkeypatch.setattr(blobs, "FAN", 3)
     assert blobs.first_bits(7) == 3 and results() == want
+
+
+def test_suffix_dedup_equals_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    r = con.execute(ORACLES["op9_lyndon_dedup"])
+    names = [c[0] for c in r.description]
+    got = QUERIES["op9_lyndon_dedup"](spark, sf)
+    assert sorted(got.columns) == sorted(names) and sorted(tuple(x[c] for c in names) for x in got.collect()) == sorted(r.fetchall())
