@@ -14,6 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch while a table is written: whole texts are in it, in the JVM's buffers and in the worker's.
+ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -58,7 +61,12 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(sweep)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(before), ROWS) if int(before) > 0 else ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
