@@ -106,7 +106,7 @@ def test_language_model_beats_the_base_on_held_out_text(spark, sf):
 def test_em_finds_the_better_estimate():
     like = np.array([[1.0, 2.0, 8.0], [1.0, 4.0, 0.0], [1.0, 0.0, 0.0]])
     w = deleted_interpolation.expectation_maximisation(np.array([1, 1, 1]), like, np.array([9000.0, 500.0, 100.0]))
-    assert w[1].argmax() == 2 and np.allclose(w.sum(axis=1), 1) and (w > 0).all()
+    assert w[1].argmax() == 2 and np.allclose(w.sum(axis=1), 1) and (w[1:] > 0).all() and w[0, 2] == 0 and (w[0, :2] > 0).all()
 
 
 def test_quality_on_held_out_labels(spark, sf):
