@@ -7,7 +7,9 @@ little-endian id, op, rev, expiry and epoch where they are not 0, and the data a
 from __future__ import annotations
 
 import json
+import re
 import struct
+from collections.abc import Iterable
 from typing import Any
 
 import numpy as np
@@ -51,23 +53,41 @@ def crc32c(raws: list[bytes]) -> np.ndarray:
 _ESCAPED = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
 
 
-def canonical(data: Any) -> bytes:
-    """JSON with sorted keys, no spaces, numbers as doubles in their shortest form, and <, >, & and line separators as escapes."""
+_SPECIAL = re.compile("[<>&\u2028\u2029]")
+_quoted = json.JSONEncoder(ensure_ascii=False).encode
+
+
+def _string(v: str) -> str:
+    text = _quoted(v)
+    return text.translate(_ESCAPED) if _SPECIAL.search(text) else text
 
-    def say(v: Any) -> str:
-        if isinstance(v, dict):
-            return "{" + ",".join(f"{say(str(k))}:{say(x)}" for k, x in sorted(v.items())) + "}"
-        if isinstance(v, (list, tuple)):
-            return "[" + ",".join(map(say, v)) + "]"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            x = float(v)
-            if x == int(x) and abs(x) < 1e21:
-                return ("-0" if str(x)[0] == "-" else "0") if x == 0 else str(int(x))
-            m, _, e = repr(x).partition("e")
-            return repr(x) if not e else f"{m}e{e[0] if e[0] in '+-' else '+'}{e.lstrip('+-').lstrip('0')}"
-        return json.dumps(v, ensure_ascii=False).translate(_ESCAPED)
 
-    return say(data).encode()
+def _number(v: int | float) -> str:
+    x = float(v)
+    if x == int(x) and abs(x) < 1e21:
+        return ("-0" if str(x)[0] == "-" else "0") if x == 0 else str(int(x))
+    text = repr(x)
+    if "e" not in text:
+        return text
+    m, _, e = text.partition("e")
+    return f"{m}e{e[0] if e[0] in '+-' else '+'}{e.lstrip('+-').lstrip('0')}"
+
+
+def _say(v: Any) -> str:
+    if isinstance(v, str):
+        return _string(v)
+    if isinstance(v, dict):
+        return "{" + ",".join([f"{_string(str(k))}:{_say(x)}" for k, x in sorted(v.items())]) + "}"
+    if isinstance(v, (list, tuple)):
+        return "[" + ",".join(map(_say, v)) + "]"
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return _number(v)
+    return _quoted(v)
+
+
+def canonical(data: Any) -> bytes:
+    """JSON with sorted keys, no spaces, numbers as doubles in their shortest form, and <, >, & and line separators as escapes."""
+    return _say(data).encode()
 
 
 def covered(entry: dict) -> bytes:
@@ -91,13 +111,26 @@ def encode(entry: dict) -> str:
     return json.dumps(out | {"crc": checksum(entry)}, separators=(",", ":"), ensure_ascii=False)
 
 
+def encode_all(entries: Iterable[tuple[int, str, int | None, int | None, str | None]]) -> list[str]:
+    """Log lines of (id, op, rev, expires_at, data as JSON without line breaks); their checksums are taken at once."""
+    lines, raws = [], []
+    for i, op, rev, expires_at, text in entries:  # no entry outlives its turn: many live dicts cost more time in Python's GC than they take to build
+        data = json.loads(text) if text else None
+        raws.append(covered({"id": i, "op": op, "rev": rev, "expires_at": expires_at, "data": data}))
+        rest = (("rev", rev), ("expires_at", expires_at), ("data", None if data is None else text))
+        lines.append(f'{{"id":{i},"op":{_quoted(op)}' + "".join([f',"{k}":{v}' for k, v in rest if v]))
+    return [f'{line},"crc":{c}}}' for line, c in zip(lines, crc32c(raws).tolist(), strict=True)]
+
+
 @F.pandas_udf(BooleanType())
 def _sound(lines: pd.Series) -> pd.Series:
     """Whether a line's checksum is right; lines without one are accepted."""
-
-    entries = [json.loads(line) for line in lines]
-    crc = crc32c([covered(e) for e in entries])
-    return pd.Series([not e.get("crc") or e["crc"] == int(c) for e, c in zip(entries, crc, strict=True)], dtype=bool)
+    raws, said = [], []
+    for line in lines:
+        e = json.loads(line)
+        raws.append(covered(e))
+        said.append(e.get("crc"))
+    return pd.Series([not s or s == c for s, c in zip(said, crc32c(raws).tolist(), strict=True)], dtype=bool)
 
 
 def read_log(spark: SparkSession, path: str, verify: bool = True, torn_tail: bool = True, after: tuple[str, int] | None = None) -> DataFrame:
@@ -111,9 +144,11 @@ def read_log(spark: SparkSession, path: str, verify: bool = True, torn_tail: boo
     if after is not None:
         files = files.where(F.col("_metadata.file_name") >= after[0])
     files = files.select(F.col("_metadata.file_name").alias("file"), F.col("value"))
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"), F.endswith("value", F.lit("\n")).alias("ended"), F.size(F.split("value", "\n")).alias("n"))
+    parts = F.split("value", "\n")
     if torn_tail:
-        lines = lines.where(~((F.col("file") == files.agg(F.max("file")).scalar()) & ~F.col("ended") & (F.col("line") == F.col("n") - 1)))
+        torn = (F.col("file") == files.agg(F.max("file")).scalar()) & ~F.endswith("value", F.lit("\n"))
+        parts = F.when(torn, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    lines = files.select("file", F.posexplode(parts).alias("line", "text"))  # what is of the whole segment is said before this: after it, it would be computed for each line
     if after is not None:
         lines = lines.where((F.col("file") > after[0]) | ((F.col("file") == after[0]) & (F.col("line") > after[1])))
     lines = lines.where("trim(text) <> ''").select("file", "line", "text")

@@ -188,3 +188,43 @@ def test_a_log_scan_goes_on_from_a_position(spark, tmp_path):
     for k in range(9):
         got = ndjson.read_log(spark, f"file://{tmp_path}", after=tuple(every[k].seq))
         assert sorted(r.id for r in got.collect()) == list(range(k + 2, 10))
+
+
+def test_log_segments_grow_in_number_with_the_log(spark, sf, monkeypatch):
+    from docquarry.plans import queries
+    from docquarry.sources import ndjson
+
+    sizes, read = [], ndjson.read_log
+    monkeypatch.setattr(queries, "SEGMENT", 100, raising=False)
+    monkeypatch.setattr(ndjson, "read_log", lambda s, path: sizes.extend(r.n for r in s.read.text(path).groupBy("_metadata.file_name").agg(F.count("value").alias("n")).collect()) or read(s, path))
+    got = queries.log_file_round_trip(spark, sf)
+    rows = queries.order_log(spark, sf).count()
+    assert sum(sizes) == rows and len(sizes) >= rows / 100 and max(sizes) < 200
+    assert {r.o_orderkey for r in got.collect()} == {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 5 <> 0 and o_orderkey % 7 <> 0").collect()}
+
+
+def test_a_segment_is_cut_once_and_not_for_each_line(spark, tmp_path):
+    from docquarry.sources import ndjson
+
+    e = lambda i: ndjson.encode({"id": i, "op": "insert", "rev": 1, "data": {"n": i}})
+    (tmp_path / "1").write_text(e(1) + "\n\n" + e(2))  # only the last segment's tail may be torn
+    (tmp_path / "2").write_text("\n".join([e(3), e(4), e(5)[:-1]]))
+    log = ndjson.read_log(spark, f"file://{tmp_path}")
+    assert sorted((r.id, *r.seq) for r in log.collect()) == [(1, "1", 0), (2, "1", 2), (3, "2", 0), (4, "2", 1)]
+    above, generate, _ = log._jdf.queryExecution().optimizedPlan().toString().partition("Generate posexplode")
+    assert generate and "split(" not in above and "value" not in above
+    (tmp_path / "3").write_text(e(6)[:-1])
+    assert ndjson.read_log(spark, f"file://{tmp_path}/3").collect() == []
+    (tmp_path / "3").write_text(e(6))
+    assert ndjson.read_log(spark, f"file://{tmp_path}/3", torn_tail=False).first().id == 6
+
+
+def test_lines_encoded_at_once_are_those_encoded_one_by_one():
+    from docquarry.sources import ndjson
+
+    rows = [(0, "insert", 1, 0, '{"b":1.5,"a":[1e-7,-0.0,"< é>"]}'), (2**63, "update", 2, 1000, '{}'), (7, "delete", None, None, None), (8, "up\"date", 0, -5, "null")]
+    names = ("id", "op", "rev", "expires_at", "data")
+    for row, line in zip(rows, ndjson.encode_all(iter(rows)), strict=True):
+        entry = dict(zip(names, row, strict=True)) | {"data": row[4] and json.loads(row[4])}
+        assert json.loads(line) == json.loads(ndjson.encode(entry)) and "\n" not in line
+    assert ndjson.encode_all([]) == []
